@@ -69,3 +69,39 @@ def file_system(spark: SparkSession, path: str):
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
+
+
+def map_columns(df: DataFrame, inputs, make, fields, keep=None) -> DataFrame:
+    """df's ``keep`` columns (default: all) and new ``fields`` that Python derives batch by batch.
+
+    make() is called once per task and gives a function from lists of the input columns' values
+    to as many lists as there are fields. Kept columns named like a new field are left out.
+    fields: (name, Spark type) pairs. Tasks stream Arrow batches; nothing is gathered.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    new = {n for n, _ in fields}
+    keep = [c for c in (df.columns if keep is None else keep) if c not in new]
+    given = df.select(
+        *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)),
+        *(F.col(f"`{c}`").alias(f"i{i}") for i, c in enumerate(inputs)),
+    )
+    kept, n = given.schema.fields[: len(keep)], len(keep)
+    kinds = [T._parse_datatype_string(t) if isinstance(t, str) else t for _, t in fields]
+    schema = T.StructType([*kept, *(T.StructField(f"n{i}", t) for i, t in enumerate(kinds))])
+
+    def run(batches):
+        work, arrow = make(), None
+        for batch in batches:
+            if arrow is None:
+                arrow = to_arrow_schema(T.StructType(schema.fields[n:]))
+            lists = work(*(batch.column(n + i).to_pylist() for i in range(len(inputs))))
+            made = [pa.array(x, type=f.type) for x, f in zip(lists, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=schema.names)
+
+    out = given.mapInArrow(run, schema)
+    names = [*keep, *(n for n, _ in fields)]
+    return out.select(*(F.col(f.name).alias(name) for f, name in zip(schema.fields, names, strict=True)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from parqlane.llm import mixing
+from parqlane.llm import bpe, mixing
 from parqlane.llm.common import read
 
 
@@ -13,5 +13,22 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix(docs, keep=["doc_id"], prefix="").select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources}
+def op3_token_counts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.token_counts(docs, path, keep=["doc_id"], store_prefixes=False)
+
+
+def op4_byte_bpe(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"], outputs=outputs)
+
+
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op3_token_counts": op3_token_counts,
+    "op4_byte_bpe": op4_byte_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}

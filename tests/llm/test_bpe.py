@@ -1,0 +1,100 @@
+import base64
+import hashlib
+import random
+
+import public_tokenizers as P
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from parqlane.llm import bpe
+
+RANKS = P.path("byte_bpe_50k.tiktoken")
+JSON = P.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def tik():
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def tok():
+    return Tokenizer.from_file(JSON)
+
+
+ODD = ["", " ", "  ", " a", "a ", "a  b", "a \n b\n", "\n\n a", "it's we're 'st 'ress x'll ''s '", "\x1c a \x1fb", " x   y"]
+ODD += ["a<|endoftext|>b", "x <|endoftext|> y!<|endof", "<|endoftext|><|endoftext|>", "a" * 3000, "ab" * 999, "=" * 700, " " * 300, "日本語 text ü", "\x00\x01", "9" * 50]
+
+
+def test_every_code_point(tik, tok):
+    coder, counter = bpe.from_ranks(RANKS, P.PATTERN), bpe.from_json(JSON)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c} {c}b " for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    assert [coder.encode(t) for t in texts] == tik.encode_ordinary_batch(texts)
+    assert [counter.count(t) for t in texts] == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+ALPHABET = st.sampled_from(list("aeinrst'AZ09 .,!\n\t|<>é日") + ["  ", "<|endoftext|>", "the ", " 're", " ", "\x1d"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(ALPHABET, max_size=40).map("".join))
+def test_random_texts(text):
+    coder, counter = bpe.from_ranks(RANKS, P.PATTERN), bpe.from_json(JSON)
+    ids = coder.encode(text)
+    assert ids == test_random_texts.tik.encode_ordinary(text)
+    assert coder.decode(ids) == text.encode()
+    plain = [len(e.ids) for e in test_random_texts.tok.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+    assert counter.prefix_counts(text) == plain
+    assert counter.count(text) == plain[-1]
+    for budget in (0, 1, 2, 5, 11):
+        assert counter.fit(text, budget) == max(k for k, c in enumerate(plain) if c <= budget)
+
+
+@pytest.fixture(scope="module", autouse=True)
+def _libraries(tik, tok):
+    test_random_texts.tik, test_random_texts.tok = tik, tok
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_odd_texts(text):
+    test_random_texts.hypothesis.inner_test(text)
+
+
+def test_long_random_piece(tik):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(20000))
+    assert bpe.from_ranks(RANKS, P.PATTERN).encode(text) == tik.encode_ordinary(text)
+
+
+def test_frames(spark, sf, tik, tok):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    for r in bpe.encode_and_decode(docs, RANKS, P.PATTERN).collect():
+        assert r.token_ids == tik.encode_ordinary(r.text) and r.n_tokens == len(r.token_ids)
+        assert bytes(r.decoded) == r.text.encode() and r.lang
+    outs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    for r in bpe.encode_and_decode(docs, RANKS, P.PATTERN, keep=["doc_id"], outputs=outs).collect():
+        ids = tik.encode_ordinary(rows[r.doc_id])
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(rows[r.doc_id].encode()).hexdigest()
+    stored = {r.doc_id: r for r in bpe.token_counts(docs, JSON, keep=["doc_id"]).collect()}
+    for r in bpe.token_counts(docs, JSON, keep=["doc_id"], store_prefixes=False).collect():
+        s, text = stored[r.doc_id], rows[r.doc_id]
+        assert r.n_tokens == len(tok.encode(text, add_special_tokens=False).ids) == s.prefix_counts[-1] == s.n_tokens
+        assert (r.n_bytes, r.over_limit, r.fit_chars) == (s.n_bytes, s.over_limit, s.fit_chars)
+        assert r.n_bytes == len(text.encode()) and r.over_limit == (r.n_tokens > 512)
+
+
+def test_odd_rows(spark):
+    df = spark.createDataFrame([(None, None, 7), (1, "", 8), (1, "", 8), (2, "word " * 50000, 9)], "doc_id long, text string, n_tokens int")
+    out = bpe.encode_and_decode(df, RANKS, P.PATTERN).collect()
+    assert [r.n_tokens for r in out][:3] == [0, 0, 0] and out[3].n_tokens > 50000 - 1 and out[0].token_ids == []
+    counts = bpe.token_counts(df, JSON, store_prefixes=False).collect()
+    assert [(r.n_bytes, r.n_tokens, r.fit_chars) for r in counts][:3] == [(0, 0, 0)] * 3
+    assert bpe.token_counts(df.limit(0), JSON).count() == 0 and bpe.encode_and_decode(df.limit(0), RANKS, P.PATTERN).count() == 0
