@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from parqlane.llm import bpe, mixing
+from parqlane.llm import bpe, mixing, simhash
 from parqlane.llm.common import read
 
 
@@ -26,9 +26,16 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"], outputs=outputs)
 
 
+def op8_simhash(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", simhash.hex_fingerprint("fingerprint").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op8_simhash": op8_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
