@@ -29,31 +29,43 @@ from pyspark.sql import DataFrame
 
 from parqlane.llm.common import map_columns
 
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 500_000
 MEMO_PAIRS = 2_000_000
 MEMO_CHARS = 200
 LIMIT = 512
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def plain(word: str) -> bool:
+    """Letters of the first Latin blocks only, on which all Unicode versions agree."""
+    return word.isalpha() and max(word) < "\u0250"
+
+
 class Irregular(Exception):
     """White space other than single spaces stands at an end of a piece."""
 
 
 class _Memo(dict):
-    """Results of pieces; lead stands before each piece, and if there is one, pieces must be regular."""
+    """Results of pieces; lead stands before each piece, and if there is one, pieces must be regular.
+
+    When full, the memo becomes the old one, from which pieces that come again are taken over.
+    """
 
     def __init__(self, compute, lead=""):
-        self.compute, self.lead = compute, lead
+        self.compute, self.lead, self.old = compute, lead, {}
 
     def __missing__(self, piece):
-        if self.lead and (not piece or piece[0].isspace() or piece[-1].isspace()):
-            raise Irregular
-        value = self.compute(self.lead + piece)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[piece] = value
+        value = self.old.get(piece)
+        if value is None:
+            if self.lead and (not piece or piece[0].isspace() or piece[-1].isspace()):
+                raise Irregular
+            value = self.compute(self.lead + piece)
+            if len(piece) > MEMO_CHARS:
+                return value
+        if len(self) >= MEMO_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
         return value
 
 
@@ -72,6 +84,9 @@ class Vocabulary:
         for i, t in self.tokens.items():
             self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
+        self.latin = {t.decode("latin-1"): i for i, t in self.tokens.items()}
+        self.sizes = {i: len(t) for i, t in self.tokens.items()}
+        self.longest_token = max(self.sizes.values())
         self.shorter = {i: self._longest_proper_prefix(t) for i, t in self.tokens.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -116,38 +131,41 @@ class Vocabulary:
             else:
                 end, right = right + 1, parts_right[0]
 
-    def _matches(self, piece: bytes):
-        return self.automaton.iter(piece.decode("latin-1"))
+    def _longest(self, text: str) -> int:
+        """The longest token that the Latin-1 text starts with."""
+        size = self.automaton.longest_prefix(text[: self.longest_token])
+        while (i := self.latin.get(text[:size])) is None:
+            size -= 1
+        return i
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
-        if (whole := self.ids.get(piece)) is not None:
+        text = piece.decode("latin-1")
+        if (whole := self.latin.get(text)) is not None:
             return [whole]
-        n, longest = len(piece), [None] * len(piece)
-        for end, (size, i) in self._matches(piece):
-            longest[end + 1 - size] = i  # ends ascend, so the longest comes last
+        n, sizes, shorter, pairs, reach = len(text), self.sizes, self.shorter, self.memo_pairs, self.longest_token
         out: list[int] = []
-        given_up = bytearray(n + 1)
-        at, token, tokens, shorter = 0, longest[0], self.tokens, self.shorter
+        given_up: set[int] = set()
+        at, token, last = 0, self._longest(text), None
         while at < n:
-            while True:
-                after = at + len(tokens[token])
-                if not given_up[after] and (not out or self.compatible(out[-1], token)):
+            after = at + sizes[token]
+            if after not in given_up:
+                fits = last is None or pairs.get((last, token))
+                if fits is None:
+                    fits = self.compatible(last, token)
+                if fits:
                     out.append(token)
-                    at = after
-                    token = longest[at] if at < n else None
-                    break
+                    at, last = after, token
+                    if at < n:
+                        token = self._longest(text[at : at + reach])
+                    continue
+            token = shorter[token]
+            while token is None:  # nothing can follow what ends here: take a shorter token before it
+                given_up.add(at)
+                token = out.pop()
+                at -= sizes[token]
                 token = shorter[token]
-                if token is None:
-                    given_up[at] = 1
-                    token = out.pop()
-                    at -= len(tokens[token])
-                    token = shorter[token]
-                    while token is None:
-                        given_up[at] = 1
-                        token = out.pop()
-                        at -= len(tokens[token])
-                        token = shorter[token]
+                last = out[-1] if out else None
         return out
 
     def piece_counts(self, piece: bytes) -> list[int]:
@@ -155,7 +173,7 @@ class Vocabulary:
         n = len(piece)
         count, last = [0] * (n + 1), [None] * (n + 1)
         compatible = self.compatible
-        for end, (size, i) in self._matches(piece):
+        for end, (size, i) in self.automaton.iter(piece.decode("latin-1")):
             end += 1
             if last[end] is None:
                 start = end - size
@@ -226,14 +244,30 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.first = _Memo(self._encode)
-        self.rest = _Memo(self._encode, " ")
+        self.first = _Memo(vocabulary.encode_run)
+        self.rest = _Memo(self._encode_word, " ")
         self.first_count = _Memo(vocabulary.count_run)
-        self.rest_count = _Memo(vocabulary.count_run, " ")
-
-    def _encode(self, text):
-        ids = self.vocabulary.encode_run(text)
-        return ids, " ".join(map(str, ids))
+        self.rest_count = _Memo(self._count_word, " ")
+        ids = [*vocabulary.tokens, *vocabulary.specials.values()]
+        self.said = [str(i) for i in range(max(ids) + 1)]
+        self.bytes = [vocabulary.tokens.get(i, b"") for i in range(max(ids) + 1)]
+
+    # A word of plain letters is one match of the pattern; so is a mark after it.
+    def _encode_word(self, text):
+        word = text[1:]
+        if plain(word):
+            return tuple(self.vocabulary.encode_piece(text.encode()))
+        if word[-1] in ".,;:!?" and plain(word[:-1]):
+            return (*self.rest[word[:-1]], self.vocabulary.latin[word[-1]])
+        return self.vocabulary.encode_run(text)
+
+    def _count_word(self, text):
+        word = text[1:]
+        if plain(word):
+            return self.vocabulary.piece_counts(text.encode())[-1]
+        if word[-1] in ".,;:!?" and plain(word[:-1]):
+            return self.rest_count[word[:-1]] + 1
+        return self.vocabulary.count_run(text)
 
     def _each(self, text: str, first: _Memo, rest: _Memo) -> list:
         if not text:
@@ -248,15 +282,14 @@ class Coder:
             return [first[head], *(rest[x] if x in rest else rest.compute(" " + x) for x in tail)]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(x[0] for x in self._each(text, self.first, self.rest)))
+        return list(chain.from_iterable(self._each(text, self.first, self.rest)))
 
-    def encode_with_text(self, text: str) -> tuple[list[int], str]:
-        """Ids, and the same as decimal numbers joined by single spaces."""
-        found = self._each(text, self.first, self.rest)
-        return list(chain.from_iterable(x[0] for x in found)), " ".join([x[1] for x in found])
+    def decimal(self, ids) -> str:
+        """The ids as decimal numbers joined by single spaces."""
+        return " ".join(map(self.said.__getitem__, ids))
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
+        return b"".join(map(self.bytes.__getitem__, ids))
 
     def count(self, text: str) -> int:
         return sum(self._each(text, self.first_count, self.rest_count))
@@ -345,7 +378,7 @@ def encode_and_decode(
         def work(texts):
             made = {k: [] for k in outputs}
             for text in texts:
-                ids, said = coder.encode_with_text(text or "")
+                ids = coder.encode(text or "")
                 decoded = coder.decode(ids) if "decoded" in made or "decoded_sha256" in made else None
                 for k, column in made.items():
                     if k == "n_tokens":
@@ -355,7 +388,7 @@ def encode_and_decode(
                     elif k == "decoded":
                         column.append(decoded)
                     elif k == "ids_sha256":
-                        column.append(hashlib.sha256(said.encode()).hexdigest())
+                        column.append(hashlib.sha256(coder.decimal(ids).encode()).hexdigest())
                     else:
                         column.append(hashlib.sha256(decoded).hexdigest())
             return [made[k] for k in outputs]
