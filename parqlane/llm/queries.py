@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from parqlane.llm import bpe, mixing, simhash
+from parqlane.llm import bpe, gif, mixing, secrets, simhash
 from parqlane.llm.common import read
 
 
@@ -26,16 +27,40 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"], outputs=outputs)
 
 
+def op7_gif_media(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return gif.text_media(docs, keep=["doc_id"], outputs=[k for k in gif.TEXT_MEDIA if k != "media"])
+
+
 def op8_simhash(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     found = simhash.near_duplicates(docs)
     return found.select("doc_id", simhash.hex_fingerprint("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op10_secret_scan(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = secrets.scan_secrets(docs, keep=["doc_id"])
+    kinds = [r.kind for r in secrets.BASE]
+    base = F.filter("secret_spans", lambda s: s["kind"].isin(kinds))
+
+    def count(kind):
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, kinds),
+        F.sha2(secrets.said(base), 256).alias("base_sha256"),
+        secrets.said("secret_spans").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_gif_media": op7_gif_media,
     "op8_simhash": op8_simhash,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}

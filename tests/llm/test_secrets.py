@@ -1,0 +1,72 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from parqlane.llm import secrets
+from parqlane.llm.common import scratch_path
+
+KINDS = ("assign", "access", "hex")
+
+
+def plain_base(text):
+    text = text or ""
+    out = []
+    word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token"))
+    word += "|[aA][pP][iI]_?[kK][eE][yY]"
+    for m in re.finditer(rf"""({word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(KINDS[k], s, e) for s, k, e in sorted(out)]
+
+
+PIECES = ["password", "PassWd", "secret", "ſecret", "toKen", "api_key", "APIKEY", '"', "'", " ", ":", "=", "abcdef", "abc", "AKIA", "Q7" * 8, "AKIAAKIA",
+          "0123456789abcdef", "deadbeef0", "é", "日本", "\n", "-", "x"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
+def test_base_spans(text):
+    assert secrets.find(text, secrets.BASE) == plain_base(text)
+    assert [x for x in secrets.find(text) if x[0] in KINDS] == plain_base(text)
+
+
+def test_more_kinds():
+    text = "-----BEGIN RSA PRIVATE KEY-----\nabc=\n-----END RSA PRIVATE KEY----- eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh_1 ftp://me:pass@host/"
+    assert [k for k, _, _ in secrets.find(text)] == ["pem", "jwt", "url"]
+    assert secrets.find("clean words, and 1234 https://example.org/a:b") == []
+
+
+def rows_of(df):
+    return {r.doc_id: [tuple(s) for s in r.secret_spans] for r in df.collect()}
+
+
+def test_documents_and_ledger(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    held = [(-k, f"the {w} = abcdef12{k % 2} {'0123456789abcdef' * 2} AKIA{'X' * 16}") for k, w in enumerate(("Token", "secret", "key"), 1)]
+    docs = docs.union(spark.createDataFrame(held, docs.schema))
+    path = scratch_path(spark, "test-ledger")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = rows_of(secrets.scan_secrets(docs, ledger=path))
+    assert got == {i: secrets.find(t) for i, t in texts.items()} and any(got.values())
+    book = secrets.BlobLedger(spark, path)
+    blobs = len({hashlib.sha256(t.encode()).digest() for t in texts.values()})
+    assert book.rows().count() == blobs * len(secrets.RULES)
+    assert rows_of(secrets.scan_secrets(docs, ledger=path)) == got
+    assert book.rows().count() == blobs * len(secrets.RULES)  # nothing was scanned again
+    newer = (*secrets.BASE, secrets.Rule("word", r"\bthe\b"))
+    assert rows_of(secrets.scan_secrets(docs, rules=newer, ledger=path)) == {i: secrets.find(t, newer) for i, t in texts.items()}
+    assert book.rows().count() == blobs * (len(secrets.RULES) + 1)
+
+
+def test_odd_rows(spark):
+    secret = "token = abcdef1234 " + "x " * 30000 + "AKIA" + "Z" * 16
+    rows = [(None, None, "p"), (1, "", "q"), (2, secret, None), (2, secret, None), (3, secret, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, blob string")
+    got = secrets.scan_secrets(df).collect()
+    assert len(got) == 5 and all(r.blob == hashlib.sha256((dict([(None, None), (1, ""), (2, secret), (3, secret)])[r.doc_id] or "").encode()).hexdigest() for r in got)
+    assert all([tuple(s) for s in r.secret_spans] == (secrets.find(secret) if r.doc_id in (2, 3) else []) for r in got)
+    assert secrets.scan_secrets(df.limit(0)).count() == 0
