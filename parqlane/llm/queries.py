@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from parqlane.llm import bpe, gif, mixing, secrets, simhash
+from parqlane.llm import anisotropic, bpe, gif, mixing, secrets, simhash
 from parqlane.llm.common import read
 
 
@@ -14,6 +14,11 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix(docs, keep=["doc_id"], prefix="").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_anisotropic_search(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return anisotropic.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op3_token_counts(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +62,7 @@ def op10_secret_scan(spark, sf_dir):
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_anisotropic_search": op2_anisotropic_search,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_gif_media": op7_gif_media,
