@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from parqlane.llm import anisotropic, bpe, gif, mixing, secrets, simhash
+from parqlane.llm import anisotropic, bpe, gam, gif, mixing, secrets, simhash
 from parqlane.llm.common import read
 
 
@@ -32,6 +32,18 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"], outputs=outputs)
 
 
+def op6_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = gam.train(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+    scored = gam.score_quality(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        F.coalesce(gam.held_out("doc_id"), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= gam.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op7_gif_media(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return gif.text_media(docs, keep=["doc_id"], outputs=[k for k in gif.TEXT_MEDIA if k != "media"])
@@ -65,6 +77,7 @@ QUERIES = {
     "op2_anisotropic_search": op2_anisotropic_search,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_quality": op6_quality,
     "op7_gif_media": op7_gif_media,
     "op8_simhash": op8_simhash,
     "op10_secret_scan": op10_secret_scan,
