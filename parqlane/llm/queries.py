@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from parqlane.llm import anisotropic, bpe, gam, gif, mixing, secrets, simhash
-from parqlane.llm.common import read
+from parqlane.llm import anisotropic, bpe, gam, gif, mixing, secrets, sharding, simhash
+from parqlane.llm.common import read, scratch_path
 
 
 def op1_mix_sources(spark, sf_dir):
@@ -32,6 +32,19 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"], outputs=outputs)
 
 
+ARRIVALS = 4
+
+
+def op5_tiered_shards(spark, sf_dir):
+    """Documents arrive in four parts; each row with the compacted shard that holds it."""
+    docs = read(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, scratch_path(spark, "store"))
+    store.append_all(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), "arrival")
+    store.compact()
+    rows = store.read_with_shards()
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "shard_id", "shard_rows", "shard_bytes")
+
+
 def op6_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     model = gam.train(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -77,6 +90,7 @@ QUERIES = {
     "op2_anisotropic_search": op2_anisotropic_search,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_tiered_shards": op5_tiered_shards,
     "op6_quality": op6_quality,
     "op7_gif_media": op7_gif_media,
     "op8_simhash": op8_simhash,
