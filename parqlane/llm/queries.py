@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from parqlane.llm import anisotropic, bpe, gam, gif, mixing, secrets, sharding, simhash
+from parqlane.llm import anisotropic, bpe, gam, gif, line_dedup, mixing, secrets, sharding, simhash
 from parqlane.llm.common import read, scratch_path
 
 
@@ -68,6 +68,12 @@ def op8_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_fingerprint("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op9_line_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = line_dedup.dedup_lines(docs, keep=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_in")
+
+
 def op10_secret_scan(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     found = secrets.scan_secrets(docs, keep=["doc_id"])
@@ -94,6 +100,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_gif_media": op7_gif_media,
     "op8_simhash": op8_simhash,
+    "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
