@@ -194,6 +194,13 @@ def links(points: DataFrame, column: str, radius=RADIUS, segment_bits=SEGMENT_BI
     return spread.mapInArrow(_links_of_cells(radius), "a long, b long")
 
 
+def _grouped(marked: DataFrame, radius, segment_bits, chunk, agree) -> DataFrame:
+    """p, root for every fingerprint in marked.p; root names its component."""
+    roots = connected_components(links(marked, "p", radius, segment_bits, chunk, agree), "a", "b")
+    points = marked.groupBy("p").agg(F.min("id").alias("least"))
+    return points.join(roots, F.col("p") == F.col("node"), "left").select("p", "least", F.coalesce("root", "p").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col="doc_id", text_col="text", keep=None, words=WORDS, radius=RADIUS, seed=SEED,
     segment_bits=SEGMENT_BITS, chunk=CHUNK, agree=None,
@@ -207,11 +214,8 @@ def near_duplicates(
     marked = materialise(
         fingerprints(marked, "text", [*(f"k{i}" for i in range(len(keep))), "id"], words, seed, "p"), "fingerprints"
     )
-    points = marked.groupBy("p").agg(F.min("id").alias("least"))
-    roots = connected_components(links(marked, "p", radius, segment_bits, chunk, agree), "a", "b")
-    named = points.join(roots, F.col("p") == F.col("node"), "left").withColumn("root", F.coalesce("root", "p"))
+    named = _grouped(marked, radius, segment_bits, chunk, agree)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Only the points of links need the component's name; the others have their own.
     of_points = materialise(
         named.select("p", "root").join(names, "root").select(F.col("p").alias("q"), "component_id"), "components"
     )
@@ -221,6 +225,29 @@ def near_duplicates(
     )
 
 
+def radius_of(similarity: float) -> int:
+    """Most differing bits at which the estimated Jaccard similarity of the shingles is so high.
+
+    Fingerprints differ in angle / pi of their bits, cos(angle) is the cosine of the shingle counts,
+    and sets of equal size with cosine c have Jaccard similarity c / (2 - c).
+    """
+    cosines = (math.cos(math.pi * d / 64) for d in range(33))
+    return max(d for d, c in enumerate(cosines) if c / (2 - c) >= similarity)
+
+
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", words=5, similarity=0.8, seed=SEED, segment_bits=1, chunk=CHUNK) -> DataFrame:
+    """One row of docs of each component: that with the least id (nulls last), then the least row hash."""
+    row = docs.withColumn("__row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    marked = row.select(F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("h"), F.col(f"`{text_col}`").alias("text"))
+    marked = materialise(fingerprints(marked, "text", ["id", "h"], words, seed, "p"), "fingerprints")
+    named = materialise(_grouped(marked, radius_of(similarity), segment_bits, chunk, None).select(F.col("p").alias("q"), "root"), "components")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
+    first = marked.join(named, F.col("p") == F.col("q")).groupBy("root").agg(F.min(order).alias("first"))
+    first = first.select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
+    kept = row.join(first, (F.col("__row") == F.col("__h")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["__row", id_col]).drop("__row")
+
+
 def hex_fingerprint(column):
     """A fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
