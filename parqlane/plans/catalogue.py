@@ -2,18 +2,241 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from parqlane.functions import shapes
+from parqlane.operators import columns as C
+from parqlane.operators import predicates as P
+from parqlane.operators import presence
+from parqlane.plans.scan import ReadSpec, scan
+from parqlane.sources import footer
+
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register a query (spark, sf_dir) under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark, sf_dir, table, predicate=None, columns=None, **options):
+    spec = ReadSpec(predicate or P.everything(), columns or C.all_columns(), **options)
+    return scan(spark, f"{sf_dir}/{table}.parquet", spec)
+
+
+def cols(*names):
+    return C.union(*(C.column(n) for n in names))
+
+
+for _table in TABLES:
+    QUERIES[f"scan_{_table}"] = lambda spark, sf_dir, table=_table: read(spark, sf_dir, table)
+    ORACLE_SQL[f"scan_{_table}"] = f"SELECT * FROM {_table}"
+
+
+# Predicates
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus = 'F'")
+def filter_eq(spark, sf_dir):
+    return read(spark, sf_dir, "orders", P.equals("o_orderstatus", "F"))
+
+
+@query("SELECT * FROM lineitem WHERE l_quantity > 30")
+def filter_gt(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem", P.greater_than("l_quantity", 30))
+
 
+@query("SELECT * FROM lineitem WHERE l_quantity >= 30")
+def filter_ge(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem", P.greater_than_or_equal("l_quantity", 30))
 
-def _filter_intersection(spark, sf_dir):
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .where((F.col("l_quantity") >= 20) & (F.col("l_quantity") < 30))
-        .select("l_orderkey", "l_linenumber", "l_quantity")
+
+@query("SELECT * FROM lineitem WHERE l_quantity < 5")
+def filter_lt(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem", P.less_than("l_quantity", 5))
+
+
+@query("SELECT * FROM lineitem WHERE l_quantity <= 5")
+def filter_le(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem", P.less_than_or_equal("l_quantity", 5))
+
+
+@query("SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderpriority = '5-LOW'")
+def filter_union_same_col(spark, sf_dir):
+    return read(spark, sf_dir, "orders", P.union(*(P.equals("o_orderpriority", v) for v in ("1-URGENT", "5-LOW"))))
+
+
+@query("SELECT * FROM lineitem WHERE l_quantity < 5 OR l_discount > 0.08")
+def filter_union_diff_col(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem", P.less_than("l_quantity", 5) | P.greater_than("l_discount", 0.08))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem "
+    "WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_quantity >= 20 AND l_quantity < 30"
+)
+def filter_intersection(spark, sf_dir):
+    where = P.intersection(
+        P.greater_than_or_equal("l_shipdate", dt.datetime(1995, 1, 1)),
+        P.greater_than_or_equal("l_quantity", 20),
+        P.less_than("l_quantity", 30),
     )
+    return read(spark, sf_dir, "lineitem", where, cols("l_orderkey", "l_linenumber"))
+
+
+@query("SELECT * FROM lineitem WHERE l_quantity < 5 OR (l_discount > 0.05 AND l_tax < 0.03)")
+def filter_or_of_and(spark, sf_dir):
+    where = P.less_than("l_quantity", 5) | (P.greater_than("l_discount", 0.05) & P.less_than("l_tax", 0.03))
+    return read(spark, sf_dir, "lineitem", where)
+
+
+@query("SELECT * FROM lineitem WHERE (l_quantity < 5 OR l_discount > 0.05) AND l_tax < 0.03")
+def filter_and_of_or(spark, sf_dir):
+    where = (P.less_than("l_quantity", 5) | P.greater_than("l_discount", 0.05)) & P.less_than("l_tax", 0.03)
+    return read(spark, sf_dir, "lineitem", where)
+
+
+@query("SELECT * FROM customer WHERE c_name > 'Customer#000000100'")
+def filter_string_order(spark, sf_dir):
+    return read(spark, sf_dir, "customer", P.greater_than("c_name", "Customer#000000100"))
+
+
+@query("SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-05 06:07:08.123456'")
+def filter_ts_micros(spark, sf_dir):
+    return read(spark, sf_dir, "events", P.greater_than("ts", dt.datetime(2024, 1, 5, 6, 7, 8, 123456)))
+
+
+@query("SELECT * FROM region")
+def filter_nothing_asked(spark, sf_dir):
+    return read(spark, sf_dir, "region", P.union())
+
+
+@query("SELECT vec_id, embedding FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3)) > 0")
+def exists_embedding_gt(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings", P.greater_than("embedding", 0.3), cols("vec_id"))
+
+
+@query("SELECT vec_id, embedding FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3 AND x < 0.301)) > 0")
+def exists_embedding_between(spark, sf_dir):
+    where = P.intersection(P.greater_than("embedding", 0.3), P.less_than("embedding", 0.301))
+    return read(spark, sf_dir, "embeddings", where, cols("vec_id"))
+
+
+@query("SELECT * FROM documents WHERE lang LIKE 'd%' AND n_chars > 500")
+def filter_custom(spark, sf_dir):
+    return read(spark, sf_dir, "documents", P.matching("lang", lambda c: c.like("d%")) & P.greater_than("n_chars", 500))
+
+
+# Projection
+
+
+@query("SELECT p_name FROM part")
+def project_one(spark, sf_dir):
+    return read(spark, sf_dir, "part", columns=C.column("p_name"))
+
+
+@query("SELECT p_partkey, p_brand, p_size FROM part")
+def project_union(spark, sf_dir):
+    return read(spark, sf_dir, "part", columns=C.union(C.column("p_size"), C.column("p_partkey"), C.column("p_brand")))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000")
+def project_keeps_predicate_cols(spark, sf_dir):
+    return read(spark, sf_dir, "customer", P.greater_than("c_acctbal", 5000), C.column("c_custkey"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
+def project_drops_predicate_cols(spark, sf_dir):
+    return read(spark, sf_dir, "customer", P.greater_than("c_acctbal", 5000), C.column("c_custkey"), keep_predicate_columns=False)
+
+
+@query(
+    "SELECT o_orderkey, struct_pack(status := o_orderstatus, inner_ := struct_pack(price := o_totalprice)) AS o FROM orders "
+    "WHERE o_totalprice > 100000"
+)
+def project_nested(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    inner = F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+    made = orders.select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("date"), inner.alias("inner_")).alias("o"))
+    spec = ReadSpec(P.greater_than("o.inner_.price", 100000), C.union(C.column("o_orderkey"), C.column("o.status")))
+    return spec.apply(made)
+
+
+# Metadata
+
+
+@query(None)
+def footer_chunks(spark, sf_dir):
+    return footer.chunks(spark, f"{sf_dir}/lineitem.parquet").drop("file")
+
+
+@query("SELECT 'l_quantity' AS path, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem UNION ALL SELECT 'l_orderkey', min(l_orderkey)::DOUBLE, max(l_orderkey)::DOUBLE FROM lineitem")
+def chunk_min_max(spark, sf_dir):
+    found = footer.chunks(spark, f"{sf_dir}/lineitem.parquet").where(F.col("path").isin("l_quantity", "l_orderkey"))
+    return found.groupBy("path").agg(F.min(F.col("min").cast("double")).alias("low"), F.max(F.col("max").cast("double")).alias("high"))
+
+
+@query(
+    "SELECT 'doc_id' AS path, count(*) AS num_values, count(*) - count(doc_id) AS null_count FROM documents "
+    "UNION ALL SELECT 'lang', count(*), count(*) - count(lang) FROM documents"
+)
+def null_counts(spark, sf_dir):
+    found = footer.chunks(spark, f"{sf_dir}/documents.parquet").where(F.col("path").isin("doc_id", "lang"))
+    return found.groupBy("path").agg(F.sum("num_values").alias("num_values"), F.sum("null_count").alias("null_count"))
+
+
+@query("SELECT count(*) AS n, max(CASE WHEN c_custkey = 17 THEN 1 ELSE 0 END) = 1 AS present FROM customer")
+def might_contain_present(spark, sf_dir):
+    asked = presence.might_contain(spark, f"{sf_dir}/customer.parquet", "c_custkey", 17)
+    n = footer.chunks(spark, f"{sf_dir}/customer.parquet").where("column_index = 0").agg(F.sum("group_rows").alias("n"))
+    return n.crossJoin(asked.agg(F.max("might_contain").alias("present")))  # two single rows
+
+
+@query("SELECT max(CASE WHEN o_orderpriority = '3-NONE' THEN 1 ELSE 0 END) = 1 AS present FROM orders")
+def might_contain_absent_in_dictionary(spark, sf_dir):
+    asked = presence.might_contain(spark, f"{sf_dir}/orders.parquet", "o_orderpriority", "3-NONE")
+    return asked.agg(F.max("might_contain").alias("present"))
+
+
+@query("SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment IS NOT NULL")
+def dictionary_values(spark, sf_dir):
+    return presence.distinct_values(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_mktsegment")
+
+
+@query("SELECT count(*) AS n, sum(l_quantity) AS total FROM lineitem")
+def row_group_scope(spark, sf_dir):
+    """All row groups, one by one, are the table."""
+    path = f"{sf_dir}/lineitem.parquet"
+    places = [r.row_group for r in footer.chunks(spark, path).select("row_group").distinct().collect()]
+    df = scan(spark, path, ReadSpec(columns=C.column("l_quantity")), places)
+    return df.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
+
+
+# Shapes
+
+
+@query("SELECT to_json({'n_name': n_name, 'n_nationkey': n_nationkey}) AS json FROM nation")
+def as_json(spark, sf_dir):
+    nation = read(spark, sf_dir, "nation", columns=cols("n_nationkey", "n_name"))
+    return shapes.as_json(nation.select("n_name", "n_nationkey"))
 
 
-QUERIES = {"filter_intersection": _filter_intersection}
-ORACLE_SQL = {
-    "filter_intersection": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 20 AND l_quantity < 30"
-}
+@query("SELECT r_regionkey, upper(r_name) AS name FROM region")
+def custom_shape(spark, sf_dir):
+    kind = T.StructType([T.StructField("r_regionkey", T.IntegerType()), T.StructField("name", T.StringType())])
+    return shapes.shaped(read(spark, sf_dir, "region"), lambda row: {"r_regionkey": row["r_regionkey"], "name": row["r_name"].upper()}, kind)
