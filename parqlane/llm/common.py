@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash seed of every seeded choice unless the caller gives another.
 SEED = 42
+#: Rows that Python holds as objects at once.
+ROWS = 512
 _own: dict[str, str] = {}
 
 
@@ -98,9 +100,11 @@ def map_columns(df: DataFrame, inputs, make, fields, keep=None) -> DataFrame:
         for batch in batches:
             if arrow is None:
                 arrow = to_arrow_schema(T.StructType(schema.fields[n:]))
-            lists = work(*(batch.column(n + i).to_pylist() for i in range(len(inputs))))
-            made = [pa.array(x, type=f.type) for x, f in zip(lists, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=schema.names)
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                lists = work(*(part.column(n + i).to_pylist() for i in range(len(inputs))))
+                made = [pa.array(x, type=f.type) for x, f in zip(lists, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=schema.names)
 
     out = given.mapInArrow(run, schema)
     names = [*keep, *(n for n, _ in fields)]
