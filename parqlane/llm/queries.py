@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -103,4 +105,39 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _secret_sql() -> str:
+    """The scan in DuckDB: a match starts after the pieces and the matches before it."""
+
+    def quoted(rule):
+        pattern = rule.pattern
+        if rule.any_case:  # of A-Z alone: SQL's own flag would fold other letters into them
+            words, _, rest = pattern.partition(")")
+            words = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", words)
+            pattern = f"{words}){rest}"
+        return pattern.replace("'", "''")
+
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{p}', 0) AS ms, "
+        f"regexp_extract_all(t, '{p}', {r.group}) AS gs, regexp_split_to_array(t, '{p}') AS ps FROM d"
+        for k, r in enumerate(secrets.RULES)
+        for p in (quoted(r),)
+    )
+    said = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    base = [r.kind for r in secrets.BASE]
+    counts = ", ".join(f"count(s) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    own = f"FILTER (kind IN ({', '.join(repr(k) for k in base)}))"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    m AS ({kinds}),
+    i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
+    p AS (SELECT doc_id, k, kind, coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0)
+            + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s, ms[i] AS m
+          FROM i WHERE length(gs[i]) >= least),
+    f AS (SELECT doc_id, k, kind, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM p)
+    SELECT d.doc_id, {counts}, sha256(coalesce({said} {own}, '')) AS base_sha256, coalesce({said}, '') AS spans
+    FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""
+
+
+ORACLE_SQL = {"op10_secret_scan": _secret_sql()}
