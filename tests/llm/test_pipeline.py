@@ -52,9 +52,8 @@ def test_line_stage(stages):
 
 def test_near_stage(stages):
     rows = sorted((r.doc_id, r.text) for r in stages[2].collect())
-    radius = simhash.radius_of(0.8)
-    assert radius == 9
-    roots = plain_components([plain_fingerprint(t, 5) for _, t in rows], radius)
+    prints = [plain_fingerprint(t, 5) | plain_fingerprint(t, 5, 43) << 64 for _, t in rows]
+    roots = plain_components(prints, simhash.bits_of(0.8, 128))
     assert sorted(rows[i][0] for i in set(roots)) == sorted(r.doc_id for r in stages[3].collect())
 
 

@@ -11,13 +11,13 @@ from parqlane.llm import simhash
 from parqlane.llm.components import connected_components
 
 
-def plain_fingerprint(text, k=4):
+def plain_fingerprint(text, k=4, seed=42):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     if not words:
         return 0
     shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -41,7 +41,7 @@ def plain_components(prints, radius):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "B", "É", "the", " ", "\n", "\t", "\x1c", " ", "x y z "]), max_size=30).map("".join))
 def test_fingerprint(text):
-    assert simhash.fingerprint(text) % 2**64 == plain_fingerprint(text)
+    assert [x % 2**64 for x in simhash.fingerprint(text, lanes=2)] == [plain_fingerprint(text), plain_fingerprint(text, seed=43)]
 
 
 def test_every_near_pair_shares_a_cell():
@@ -63,7 +63,7 @@ def test_walk_gives_the_components():
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**63, 20, dtype=np.uint64)
     points = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (30, 3), dtype=np.uint64), axis=1) for c in centres]))
-    left, right = simhash.walk(points, 4)
+    left, right = simhash.walk(points[:, None], 4)
     assert len(left) < len(points)
     parent = {i: {i} for i in range(len(points))}
     for a, b in zip(left, right):
@@ -103,6 +103,36 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(odd).collect()) == [("3", "3"), ("None", "None"), ("None", "None")]
 
 
+def edited(rng, words, n):
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = f"v{rng.randrange(10**6)}"
+    return out
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_wide_fingerprints_tell_similar_from_unlike(spark):
+    rng = random.Random(4)
+    assert simhash.bits_of(0.8, 128) == 23
+    texts, alike, unlike = [], [], []
+    for _ in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        near, far = edited(rng, base, 7), edited(rng, base, 80)
+        assert jaccard(base, near) > 0.83 and jaccard(base, far) < 0.4
+        n = len(texts)
+        texts += [" ".join(t) for t in (base, near, far)]
+        alike.append(n + 1)
+        unlike += [n, n + 2]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for options in ({}, {"agree": 2, "chunk": 8}):
+        kept = {r.doc_id for r in simhash.keep_one(df, **options).collect()}
+        assert kept >= set(unlike) and sum(i in kept for i in alike) <= 0.05 * len(alike)
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
