@@ -106,22 +106,58 @@ def _pairs(pa, a, b):
     return pa.RecordBatch.from_arrays(made, names=["key", "line"])
 
 
+def _met(batches):
+    """Rows (key, line) of the keys that hold two different lines and an index key.
+
+    Rows come by key, index keys first, so of a key that goes on in the next batch two rows are kept
+    at most; these may come out twice.
+    """
+    import pyarrow as pa
+
+    keys, lines = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        keys = np.concatenate((keys, batch.column(0).to_numpy()))
+        lines = np.concatenate((lines, batch.column(1).to_numpy()))
+        if not len(keys):
+            continue
+        start = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1))
+        own = lines & ~np.int64(1)
+        indexed = lines[start] & 1 == 1
+        good = indexed & (np.minimum.reduceat(own, start) < np.maximum.reduceat(own, start))
+        rows = np.repeat(good, np.diff(np.append(start, len(keys))))
+        if rows.any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(own[rows])], names=["key", "line"])
+        last = start[-1]
+        other = np.flatnonzero(own[last:] != own[last])[:1] + last
+        kept = np.append(last, other) if indexed[-1] else np.empty(0, np.int64)
+        keys, lines = keys[kept], lines[kept]
+
+
+def _bags(texts: list[str]) -> np.ndarray:
+    """How often each of 32 classes of characters stands in each text."""
+    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 31, minlength=32) for t in texts])
+
+
 def walk(texts: list[str], most: int) -> list[tuple[int, int]]:
-    """Links (positions) of a spanning forest of the texts within ``most`` edits of each other."""
-    order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
-    rest, out = order, []
+    """Links (positions) of a spanning forest of the texts within ``most`` edits of each other.
+
+    An edit adds a character at most and takes one away at most, so bags of characters that differ by
+    more in one direction (lengths included) rule a pair out before it is compared.
+    """
+    bags = _bags(texts).astype(np.int32)
+    rest, out = np.arange(len(texts)), []
     while len(rest) > 1:
         todo, rest = [rest[0]], rest[1:]
-        while todo and rest:
+        while todo and len(rest):
             one = todo.pop()
-            text, size, stays = texts[one], len(texts[one]), []
-            for k in rest:
-                if abs(len(texts[k]) - size) <= most and within(text, texts[k], most):
-                    out.append((one, k))
-                    todo.append(k)
-                else:
-                    stays.append(k)
-            rest = stays
+            more = bags[rest] - bags[one]
+            may = (np.maximum(more, 0).sum(1) <= most) & (np.maximum(-more, 0).sum(1) <= most)
+            found = [k for k in np.flatnonzero(may) if within(texts[one], texts[rest[k]], most)]
+            if found:
+                near = rest[found]
+                out += [(int(one), int(k)) for k in near]
+                todo += near.tolist()
+                rest = np.delete(rest, found)
     return out
 
 
@@ -162,16 +198,8 @@ def line_links(docs: DataFrame, text_col: str = "text", most: int = THRESHOLD, l
     least = max(least, most + 1)  # a segment needs a character
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     rows = texts.mapInArrow(_key_rows(most, least), "key long, line long").repartition("key")
-    line = F.col("line").bitwiseAND(F.lit(-2))
-    met = (
-        rows.groupBy("key")
-        .agg(F.min(line).alias("low"), F.max(line).alias("high"), F.max(F.col("line").bitwiseAND(F.lit(1))).alias("indexed"))
-        .where("low < high AND indexed = 1")
-        .select(F.col("key").alias("met"))
-    )
-    members = materialise(
-        rows.join(met, F.col("key") == F.col("met"), "left_semi").select("key", line.alias("line")).distinct(), "met"
-    )
+    rows = rows.sortWithinPartitions("key", F.col("line").bitwiseAND(F.lit(1)).desc())
+    members = materialise(rows.mapInArrow(_met, "key long, line long").distinct(), "met")
     wanted = members.select(F.col("line").alias("w")).distinct()
     if members.count() <= BROADCAST_ROWS:  # checked; otherwise the lines are shuffled
         wanted = F.broadcast(wanted)
