@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from parqlane.llm.common import file_system, hadoop_path
 
-TARGET_BYTES, FANOUT, LEAST_BYTES, JOBS = 128 << 20, 4, 1 << 20, 64
+TARGET_BYTES, FANOUT, LEAST_BYTES, JOBS, BROADCAST_SHARDS = 128 << 20, 4, 1 << 20, 64, 10_000
 
 
 class Conflict(Exception):
@@ -232,6 +232,8 @@ class ShardStore:
             [(s.path, k, s.rows, s.bytes) for k, s in enumerate(m.shards)],
             "__name string, __id int, __rows long, __bytes long",
         )
+        if len(m.shards) <= BROADCAST_SHARDS:  # some 100 bytes each; beyond that both sides are shuffled
+            listed = F.broadcast(listed)
         rows = self._read(m.schema, m.shards)
         kept = [c for c in rows.columns if c not in {prefix + x for x in ("id", "rows", "bytes")}]
         if not m.shards:
