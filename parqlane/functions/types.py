@@ -36,8 +36,8 @@ def duration(raw: Column, per_second: int) -> Column:
 
 def nanos_timestamp(raw: Column) -> Column:
     """Nanoseconds since 1970 as a timestamp without time zone, cut to microseconds."""
-    micros = F.expr("0") + F.floor(raw / 1000).cast("long")
-    return F.timestamp_micros(micros).cast("timestamp_ntz")
+    below = (raw - F.pmod(raw, F.lit(1000))).cast("long")  # whole numbers: doubles would round
+    return F.timestamp_micros(F.call_function("div", below, F.lit(1000))).cast("timestamp_ntz")
 
 
 def half(raw: Column) -> Column:

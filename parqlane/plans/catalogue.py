@@ -11,6 +11,7 @@ from parqlane.functions import shapes
 from parqlane.operators import columns as C
 from parqlane.operators import predicates as P
 from parqlane.operators import presence
+from parqlane.plans.files import ParquetFiles
 from parqlane.plans.scan import ReadSpec, scan
 from parqlane.sources import footer
 
@@ -142,6 +143,27 @@ def filter_custom(spark, sf_dir):
     return read(spark, sf_dir, "documents", P.matching("lang", lambda c: c.like("d%")) & P.greater_than("n_chars", 500))
 
 
+def _orders_with_lines(spark, sf_dir):
+    """Orders with their lines as a list of groups; as many orders as the table has, none cut."""
+    line = F.struct(F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.struct(F.col("l_tax").alias("t")).alias("more"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey")
+    return lines.agg(F.collect_list(line).alias("lines"))  # an order has a handful of lines
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING max(l_quantity) > 45 AND bool_or(l_tax = 0)")
+def exists_in_repeated_group(spark, sf_dir):
+    """Each condition looks for a line of its own."""
+    where = P.greater_than("lines.q", 45) & P.equals("lines.more.t", 0.0)
+    return ReadSpec(where, C.column("l_orderkey"), keep_predicate_columns=False).apply(_orders_with_lines(spark, sf_dir))
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_tax = 0")
+def exists_same_element(spark, sf_dir):
+    """One line that fulfils both conditions."""
+    where = P.matching("lines", lambda e: (e["q"] > 45) & (e["more"]["t"] == 0))
+    return ReadSpec(where, C.column("l_orderkey"), keep_predicate_columns=False).apply(_orders_with_lines(spark, sf_dir))
+
+
 # Projection
 
 
@@ -177,9 +199,44 @@ def project_nested(spark, sf_dir):
     return spec.apply(made)
 
 
+@query("SELECT l_orderkey, sum(l_quantity) AS total, count(*) AS n FROM lineitem GROUP BY l_orderkey")
+def project_in_repeated_group(spark, sf_dir):
+    pruned = C.project(_orders_with_lines(spark, sf_dir), C.union(C.column("l_orderkey"), C.column("lines", "q")))
+    total = F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["q"])
+    return pruned.select("l_orderkey", total.alias("total"), F.size("lines").cast("long").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM orders")
+def project_nothing(spark, sf_dir):
+    return read(spark, sf_dir, "orders", columns=C.no_columns()).agg(F.count("*").alias("n"))
+
+
 # Metadata
 
 
+@query("SELECT column_name AS path, (row_number() OVER () - 1)::INTEGER AS column_index FROM (DESCRIBE lineitem)")
+def column_index_by_path(spark, sf_dir):
+    return ParquetFiles(spark, f"{sf_dir}/lineitem.parquet").chunks().select("path", "column_index").distinct()
+
+
+@query("SELECT count(*) AS group_rows FROM customer")
+def row_groups(spark, sf_dir):
+    return ParquetFiles(spark, f"{sf_dir}/customer.parquet").row_groups().agg(F.sum("group_rows").alias("group_rows"))
+
+
+@query("SELECT 'value' AS path, count(value) > 0 AS holds_values FROM events")
+def contains_non_nulls(spark, sf_dir):
+    found = ParquetFiles(spark, f"{sf_dir}/events.parquet").column_chunks("value")
+    holds = presence.contains_non_nulls(F.col("null_count"), F.col("num_values"))
+    return found.groupBy("path").agg(F.max(holds).alias("holds_values"))
+
+
+@query("SELECT * FROM nation WHERE n_name = 'FRANCE'")
+def scan_where_present(spark, sf_dir):
+    files = ParquetFiles(spark, f"{sf_dir}/nation.parquet")
+    return files.scan_where_present("n_name", "FRANCE", ReadSpec(P.equals("n_name", "FRANCE")))
+
+
 @query(None)
 def footer_chunks(spark, sf_dir):
     return footer.chunks(spark, f"{sf_dir}/lineitem.parquet").drop("file")

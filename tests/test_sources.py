@@ -250,3 +250,22 @@ def test_protobuf_round_trip(spark, message):
     made = fixed({**child, "b": bytes(child["b"])})
     want = cls(name="x", child=made, kind=1, kids=[made, {k: v for k, v in made.items() if k != "s"}], kinds=[1, 0], m={3: made})
     assert got == [want, cls()]
+
+
+def test_files_as_one_object(spark, sf, tmp_path):
+    from parqlane.operators import columns as C
+    from parqlane.operators import predicates as P
+    from parqlane.plans.files import ParquetFiles
+    from parqlane.plans.scan import ReadSpec
+
+    files = ParquetFiles(spark, f"{sf}/embeddings.parquet")
+    assert files.column_type("embedding") == T.ArrayType(T.FloatType()) and files.column_type("nothing") is None
+    assert files.column_index("embedding.list.element") == 1 and files.column_index("nothing") is None
+    assert files.row_groups().agg(F.sum("group_rows")).first()[0] == files.scan().count()
+    path = str(tmp_path / "parts")
+    spark.range(0, 4000).select("id", F.array(F.col("id")).alias("a")).repartitionByRange(4, "id").write.parquet(path)
+    parts = ParquetFiles(spark, path)
+    spec = ReadSpec(P.equals("a", 1234), C.column("id"))
+    assert [r.id for r in parts.scan_where_present("a.list.element", 1234, spec).collect()] == [1234]
+    assert len(parts.scan_where_present("a.list.element", 1234, spec).inputFiles()) == 1
+    assert parts.scan_where_present("a.list.element", 9999, spec).count() == 0
