@@ -27,17 +27,20 @@ def uuid_text(raw: Column) -> Column:
 
 
 def duration(raw: Column, per_second: int) -> Column:
-    """A count of units of a second as a day-time interval, in whole microseconds."""
-    micros = raw.cast("long") * (10**6 // per_second) if per_second <= 10**6 else F.floor(raw / (per_second // 10**6)).cast("long")
-    seconds = F.floor(micros / 10**6)
-    parts = seconds.cast("decimal(18,6)") + (micros - seconds * 10**6).cast("decimal(18,6)") / 10**6
-    return F.when(raw.isNotNull(), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), parts.cast("decimal(18,6)")))
+    """A count of units of a second as a day-time interval, cut to whole microseconds."""
+    whole = raw.cast("long")  # whole numbers throughout: doubles would round
+    if per_second > 10**6:
+        unit = F.lit(per_second // 10**6)
+        micros = F.call_function("div", whole - F.pmod(whole, unit), unit)
+    else:
+        micros = whole * (10**6 // per_second)
+    seconds = (micros.cast("decimal(20,0)") / F.lit(10**6)).cast("decimal(18,6)")
+    return F.when(raw.isNotNull(), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds))
 
 
 def nanos_timestamp(raw: Column) -> Column:
     """Nanoseconds since 1970 as a timestamp without time zone, cut to microseconds."""
-    below = (raw - F.pmod(raw, F.lit(1000))).cast("long")  # whole numbers: doubles would round
-    return F.timestamp_micros(F.call_function("div", below, F.lit(1000))).cast("timestamp_ntz")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + duration(raw, 10**9)
 
 
 def half(raw: Column) -> Column:

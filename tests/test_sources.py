@@ -164,7 +164,7 @@ def test_logical_types(spark, tmp_path):
         "u8": pa.array([0, 255], pa.uint8()), "u16": pa.array([0, 65535], pa.uint16()), "u32": pa.array([0, 2**32 - 1], pa.uint32()),
         "u64": pa.array([0, 2**64 - 1], pa.uint64()), "i8": pa.array([-128, 127], pa.int8()), "d": pa.array([dt.date(1969, 12, 31), None]),
         "tms": pa.array([1, 86_399_999], pa.time32("ms")), "tus": pa.array([1, None], pa.time64("us")), "tns": pa.array([1_500, 2_000_000_999], pa.time64("ns")),
-        "us": pa.array([day, None], pa.timestamp("us")), "ms": pa.array([day, None], pa.timestamp("ms", "UTC")), "ns": pa.array([1, -1], pa.timestamp("ns")),
+        "us": pa.array([day, None], pa.timestamp("us")), "ms": pa.array([day, None], pa.timestamp("ms", "UTC")), "ns": pa.array([1_700_000_000_123_456_999, -1], pa.timestamp("ns")),
         "f16": pa.array(np.array([1.5, -65504.0], np.float16)), "dec": pa.array([None, 12], pa.decimal128(9, 2)), "s": ["x", None], "b": [b"x", None],
         "uuid": pa.ExtensionArray.from_storage(pa.uuid(), pa.array([i.bytes for i in ids], pa.binary(16))),
     })
@@ -174,7 +174,7 @@ def test_logical_types(spark, tmp_path):
     assert (one.uuid, two.uuid) == tuple(map(str, ids)) and one.d == dt.date(1969, 12, 31) and two.d is None
     ms, us = dt.timedelta(milliseconds=1), dt.timedelta(microseconds=1)
     assert (one.tms, two.tms, one.tus, two.tus, one.tns, two.tns) == (ms, 86_399_999 * ms, us, None, us, dt.timedelta(seconds=2))
-    assert one.us == day and one.ns == dt.datetime(1970, 1, 1) and two.ns == dt.datetime(1969, 12, 31, 23, 59, 59, 999999)
+    assert one.us == day and one.ns == dt.datetime(2023, 11, 14, 22, 13, 20, 123456) and two.ns == dt.datetime(1969, 12, 31, 23, 59, 59, 999999)
     assert (one.f16, two.f16) == (1.5, -65504.0) and str(two.dec) == "12.00" and (one.s, bytes(one.b)) == ("x", b"x")
 
 
