@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parqlane.llm.common import SEED, materialise
+from parqlane.llm.common import SEED, materialise, smallest
 
 FIT_ROWS, SHARD_ROWS, QUERY_ROWS, RERANK, TOP = 8192, 8192, 4096, 160, 20
 PARALLEL = 0.2  # eta for inner products above this part of the norm
@@ -193,7 +193,7 @@ def nearest(
     found = None
     for d, n, nq in ((r.d, r.n, r.nq) for r in sizes if r.nq):
         own = usable.where(F.col("d") == d)
-        sample = own.orderBy("h", "id").limit(fit_rows).select("v").toArrow().column("v").combine_chunks()
+        sample = smallest(own, fit_rows, F.col("h"), "id").select("v").toArrow().column("v").combine_chunks()
         model = fit(np.asarray(sample.flatten(), np.float64).reshape(-1, d), seed=seed)
         shards, blocks = -(-n // shard_rows), -(-nq // query_rows)
         left = own.select(

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parqlane.llm.common import SEED, map_columns
+from parqlane.llm.common import SEED, map_columns, smallest
 
 FIT_ROWS, THRESHOLD = 20_000, 0.3
 FEATURES = (
@@ -195,12 +195,9 @@ def held_out(id_col):
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", fit_rows=FIT_ROWS, seed=SEED) -> Model:
     """A model from the labelled rows outside the held-out fold."""
-    chosen = (
-        labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
-        .where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
-        .orderBy(F.xxhash64(F.lit(seed), "id"), "id", "y")
-        .limit(fit_rows)
-    )
+    usable = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
+    usable = usable.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
+    chosen = smallest(usable, fit_rows, F.xxhash64(F.lit(seed), "id"), "id", "y")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     rows = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id"))  # at most fit_rows ids
     made = map_columns(rows, ["text"], lambda: lambda texts: [[[float(v) for v in features(t)] for t in texts]], [("x", "array<double>")], ["id", "y"])
