@@ -90,7 +90,8 @@ def _plan(totals, weigh, cap, block_words, shard_words):
     block = max(1, min([block_words, *(int(t) // 512 for t in targets if t > 0)]))
     quota = sainte_lague(targets, round(sum(targets) / block), [int(cap * s) // block for s in sizes])
     return block, [
-        (n, s, t, q, max(1, -(-s // shard_words))) for n, s, t, q in zip(names, sizes, targets, quota, strict=True)
+        (i, n, s, t, q, max(1, -(-s // shard_words)))
+        for i, (n, s, t, q) in enumerate(zip(names, sizes, targets, quota, strict=True))
     ]
 
 
@@ -130,8 +131,9 @@ def mix(
         rows,
         T.StructType(
             [
+                T.StructField("s", T.IntegerType()),  # a number for each source: plain keys from here on
                 T.StructField("p_src", kind),
-                *(T.StructField(c, T.LongType()) for c in ("source_size",)),
+                T.StructField("source_size", T.LongType()),
                 T.StructField("target", T.DoubleType()),
                 T.StructField("quota", T.LongType()),
                 T.StructField("shards", T.LongType()),
@@ -148,12 +150,12 @@ def mix(
     share = F.col("quota") * F.col("s_size") / F.col("source_size")
     shards = (
         dealt.where("n > 0")
-        .groupBy("src", "shard", "quota", "source_size")
+        .groupBy("s", "shard", "quota", "source_size")
         .agg(F.sum("n").alias("s_size"))
         .withColumn("blocks", n_block)
         .withColumn("base", F.greatest(F.lit(0), F.least(F.floor(share) - BELOW, cap * F.col("blocks"))).cast("long"))
     )
-    per_source = Window.partitionBy("src")
+    per_source = Window.partitionBy("s")
     seat = F.explode(F.sequence(F.lit(0), F.lit(BELOW + ABOVE)))
     seats = (
         shards.withColumn("left", F.col("quota") - F.sum("base").over(per_source))
@@ -174,13 +176,13 @@ def mix(
             )
             & (F.col("seat") < cap * F.col("blocks")),
         )
-        .groupBy(F.col("src").alias("q_src"), F.col("shard").alias("q_shard"), "s_size", "blocks", "base")
+        .groupBy(F.col("s").alias("q_s"), F.col("shard").alias("q_shard"), "s_size", "blocks", "base")
         .agg((F.col("base") + F.sum(F.col("won").cast("long"))).alias("q"))
     )
-    along = Window.partitionBy("src", "shard").orderBy("h", "id", "n").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy("s", "shard").orderBy("h", "id", "n").rowsBetween(Window.unboundedPreceding, 0)
     laid = (
         dealt.withColumn("to", F.sum("n").over(along))
-        .join(seats, F.col("src").eqNullSafe(F.col("q_src")) & (F.col("shard") == F.col("q_shard")), "left")
+        .join(seats, (F.col("s") == F.col("q_s")) & (F.col("shard") == F.col("q_shard")), "left")
         .withColumn("passes", F.coalesce(F.expr("q div blocks"), F.lit(0)))
         .withColumn("run", F.coalesce(F.expr("q % blocks"), F.lit(0)))
         .withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "src", "shard"), "blocks"))
