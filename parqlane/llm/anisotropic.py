@@ -1,9 +1,11 @@
 """Nearest neighbours by largest inner product: anisotropic quantisation, 4-bit tables, exact rerank.
 
 The error that matters for an inner product is the one along the vector, so the quantiser weighs a
-residual's parallel part more than the rest: loss = |r|^2 + (eta - 1) (r . x / |x|)^2. A vector is
-cut into subspaces of 2 components with 16 centres each (4-bit codes). Codes are chosen by
-coordinate descent on that loss, centres by solving its normal equations.
+residual's parallel part more than the rest: loss = |r|^2 + (eta - 1) (r . x / |x|)^2. What is
+quantised is the direction of the vector's difference from the nearest of ``COARSE`` means; the
+difference's length is kept, so vectors crowded round one place are told apart as well as others. The
+direction is cut into subspaces of 2 components with 16 centres each (4-bit codes). Codes are chosen
+by coordinate descent on that loss, centres by solving its normal equations.
 
 A search deals vectors into shards of about ``SHARD_ROWS`` and queries into blocks of about
 ``QUERY_ROWS``; each (shard, block) is one group: a scan of the packed codes through the queries'
@@ -30,12 +32,14 @@ from pyspark.sql.window import Window
 from parqlane.llm.common import SEED, materialise, smallest
 
 FIT_ROWS, SHARD_ROWS, QUERY_ROWS, RERANK, TOP = 8192, 8192, 4096, 160, 20
+COARSE = 64  # means
 PARALLEL = 0.2  # eta for inner products above this part of the norm
 _SCAN = 128  # queries scanned at once
 
 
 @dataclass
 class Quantiser:
+    coarse: np.ndarray  # means, components
     centres: np.ndarray  # subspace, 16, components
     eta: float
 
@@ -50,24 +54,33 @@ class Quantiser:
         padded[:, : x.shape[1]] = x
         return padded.reshape(len(x), parts, width)
 
-    def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        cut = self.cut(x)
-        norm = np.linalg.norm(x, axis=1)
-        along = cut / np.maximum(norm, 1e-300)[:, None, None]
+    def split(self, x: np.ndarray):
+        """Nearest mean of each row, length of the rest, and the rest's direction."""
+        mean = _nearest(x, self.coarse)
+        rest = x - self.coarse[mean]
+        length = np.linalg.norm(rest, axis=1)
+        return mean, length, rest / np.maximum(length, 1e-300)[:, None]
+
+    def encode(self, rest: np.ndarray, towards: np.ndarray, sweeps: int = 2) -> np.ndarray:
+        """Codes of the rests; towards: the unit vectors along which an error weighs more."""
+        cut, along = self.cut(rest), self.cut(towards)
         # For every subspace and centre: squared residual and its part along the vector.
         square = ((cut[:, :, None, :] - self.centres[None]) ** 2).sum(-1)
         parallel = (cut * along).sum(-1)[:, :, None] - np.einsum("nmd,mkd->nmk", along, self.centres)
         codes = square.argmin(-1)
-        rows = np.arange(len(x))
+        rows = np.arange(len(rest))
         sums = np.take_along_axis(parallel, codes[:, :, None], 2)[:, :, 0].sum(1)
         for _ in range(sweeps):
             for m in range(cut.shape[1]):
-                rest = sums - parallel[rows, m, codes[:, m]]
-                loss = square[:, m] + (self.eta - 1) * (rest[:, None] + parallel[:, m]) ** 2
+                others = sums - parallel[rows, m, codes[:, m]]
+                loss = square[:, m] + (self.eta - 1) * (others[:, None] + parallel[:, m]) ** 2
                 codes[:, m] = loss.argmin(-1)
-                sums = rest + parallel[rows, m, codes[:, m]]
+                sums = others + parallel[rows, m, codes[:, m]]
         return codes.astype(np.uint8)
 
+    def decode(self, codes: np.ndarray, d: int) -> np.ndarray:
+        return self.centres[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)[:, :d]
+
     def pack(self, codes: np.ndarray) -> np.ndarray:
         """Two 4-bit codes a byte."""
         if codes.shape[1] % 2:
@@ -82,36 +95,50 @@ class Quantiser:
         return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(queries), -1, 256)
 
 
-def fit(x: np.ndarray, width: int = 2, rounds: int = 4, seed: int = SEED) -> Quantiser:
+def _nearest(x: np.ndarray, means: np.ndarray) -> np.ndarray:
+    return ((means**2).sum(1) - 2 * x @ means.T).argmin(1)
+
+
+def _means(x: np.ndarray, k: int, rng, rounds: int = 10) -> np.ndarray:
+    """k-means; a mean that no row is nearest to starts again from some row."""
+    means = x[rng.choice(len(x), min(k, len(x)), replace=False)].astype(np.float64)
+    for _ in range(rounds):
+        own = _nearest(x, means)
+        count = np.bincount(own, minlength=len(means))
+        total = np.stack([np.bincount(own, x[:, j], len(means)) for j in range(x.shape[1])], 1)
+        again = x[rng.integers(0, len(x), len(means))]
+        means = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], again)
+    return means
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+
+
+def fit(x: np.ndarray, width: int = 2, rounds: int = 4, coarse: int = COARSE, seed: int = SEED) -> Quantiser:
     rng, (n, d) = np.random.default_rng(seed), x.shape
     parts = -(-d // width)
     eta = max(1.0, (d - 1) * PARALLEL**2 / (1 - PARALLEL**2))
-    q = Quantiser(np.zeros((parts, 16, width)), eta)
-    cut = q.cut(x)
-    for m in range(parts):  # k-means to begin with
-        c = cut[rng.integers(0, n, 16), m].copy()
-        for _ in range(8):
-            own = ((cut[:, m, None] - c[None]) ** 2).sum(-1).argmin(1)
-            count = np.bincount(own, minlength=16)
-            total = np.stack([np.bincount(own, cut[:, m, j], 16) for j in range(width)], 1)
-            c = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], cut[rng.integers(0, n, 16), m])
-        q.centres[m] = c
-    norm = np.linalg.norm(x, axis=1)
-    along = cut / norm[:, None, None]
+    q = Quantiser(_means(x, coarse, rng), np.zeros((parts, 16, width)), eta)
+    rest, towards = q.split(x)[2], unit(x)
+    cut, along = q.cut(rest), q.cut(towards)
+    for m in range(parts):
+        found = _means(cut[:, m], 16, rng, 8)
+        q.centres[m] = found[np.arange(16) % len(found)]
+    wanted = (rest * towards).sum(1)  # what the centres' parts along the vector should add up to
     size = parts * 16 * width
     for _ in range(rounds):
-        codes = q.encode(x)
+        codes = q.encode(rest, towards)
         places = (np.arange(parts)[None, :, None] * 16 + codes[:, :, None]) * width + np.arange(width)
         flat = places.reshape(n, -1)
         z = np.zeros((n, size))
         np.put_along_axis(z, flat, along.reshape(n, -1), 1)
         left = (q.eta - 1) * (z.T @ z)
-        right = (q.eta - 1) * (z.T @ norm)
-        left[np.diag_indices(size)] += np.bincount(flat.ravel(), minlength=size)
+        right = (q.eta - 1) * (z.T @ wanted)
+        used = np.bincount(flat.ravel(), minlength=size)
+        left[np.diag_indices(size)] += np.where(used == 0, 1.0, used + 1e-9)
         right += np.bincount(flat.ravel(), cut.reshape(n, -1).ravel(), size)
-        unused = np.bincount(flat.ravel(), minlength=size) == 0
-        left[np.diag_indices(size)] += np.where(unused, 1.0, 1e-9)
-        right[unused] += q.centres.ravel()[unused]
+        right[used == 0] += q.centres.ravel()[used == 0]
         q.centres = np.linalg.solve(left, right).reshape(parts, 16, width)
     return q
 
@@ -124,7 +151,8 @@ def search_block(q: Quantiser, ids, vectors, query_keys, query_ids, queries, k:
     _, first, own = np.unique(raw, return_index=True, return_inverse=True)
     members = np.split(np.argsort(own, kind="stable"), np.cumsum(np.bincount(own))[:-1])
     distinct = vectors[first].astype(np.float64)
-    packed = q.pack(q.encode(distinct)).astype(np.intp)
+    mean, length, rest = q.split(distinct)
+    packed, length = q.pack(q.encode(rest, unit(distinct))).astype(np.intp), length.astype(np.float32)
     out, deep = [], min(rerank, len(distinct))
     for at in range(0, len(queries), _SCAN):
         some = queries[at : at + _SCAN].astype(np.float64)
@@ -132,6 +160,7 @@ def search_block(q: Quantiser, ids, vectors, query_keys, query_ids, queries, k:
         score = np.zeros((len(some), len(distinct)), np.float32)
         for m in range(packed.shape[1]):
             score += np.take(tables[:, m], packed[:, m], axis=1)
+        score = score * length + (some @ q.coarse.T).astype(np.float32)[:, mean]
         best = np.argpartition(-score, deep - 1, axis=1)[:, :deep]
         exact = np.einsum("qd,qrd->qr", some, distinct[best])
         for i in range(len(some)):

@@ -26,18 +26,30 @@ def test_loss_weighs_the_parallel_part():
     x = rng.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     q = anisotropic.fit(x)
-    codes = q.encode(x)
-    decoded = q.centres[np.arange(32), codes].reshape(len(x), -1)
-    plain = anisotropic.Quantiser(q.centres, 1.0)
-    nearest = q.centres[np.arange(32), plain.encode(x)].reshape(len(x), -1)
-    parallel = lambda d: (((x - d) * x).sum(1) ** 2).mean()
-    assert parallel(decoded) < parallel(nearest) and ((x - decoded) ** 2).sum(1).mean() >= ((x - nearest) ** 2).sum(1).mean()
+    mean, length, rest = q.split(x)
+    assert np.allclose(q.coarse[mean] + length[:, None] * rest, x)
+    codes = q.encode(rest, x)
+    decoded = q.decode(codes, 64)
+    plain = anisotropic.Quantiser(q.coarse, q.centres, 1.0)
+    nearest = q.decode(plain.encode(rest, x), 64)
+    parallel = lambda d: (((rest - d) * x).sum(1) ** 2).mean()
+    assert parallel(decoded) < parallel(nearest) and ((rest - decoded) ** 2).sum(1).mean() >= ((rest - nearest) ** 2).sum(1).mean()
     table = q.tables(x[:3])
     packed = q.pack(codes)
     scanned = sum(table[:, m][:, packed[:, m]] for m in range(packed.shape[1]))
     assert np.allclose(scanned, x[:3] @ decoded.T, atol=1e-5)
 
 
+def test_crowded_vectors_are_told_apart(spark):
+    """A third of all vectors lie close to one place."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4500, 32))
+    x[::3] = x[0] + 0.004 * rng.normal(size=(1500, 32))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
+    df = spark.createDataFrame([(i, v, None) for i, v in rows], SCHEMA)
+    check(spark, df, rows, 0.95)
+
+
 def recall(got, want):
     hits = sum(len({j for j, _ in got[i]} & {j for j, _ in w}) for i, w in want.items() if w)
     return hits / sum(map(len, want.values()))
