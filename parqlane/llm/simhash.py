@@ -115,25 +115,27 @@ def _packed_counts(column, segment_bits: int):
 def walk(points: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """Links (positions) of a spanning forest of the rows of lanes within radius bits of each other."""
     total = np.bitwise_count(points).sum(1, dtype=np.int64)
-    order = np.argsort(total, kind="stable")
-    rest, total, name = points[order], total[order], order
+    name = np.argsort(total, kind="stable")
+    total, lanes = total[name], [np.ascontiguousarray(lane) for lane in points[name].T]
     left, right = [], []
-    while len(rest) > 1:
-        todo = [(rest[-1], total[-1], name[-1])]
-        rest, total, name = rest[:-1], total[:-1], name[:-1]
-        while todo and len(rest):
-            point, count, own = todo.pop()
+    while len(name) > 1:
+        todo = [(*(lane[-1] for lane in lanes), total[-1], name[-1])]
+        total, name, lanes = total[:-1], name[:-1], [lane[:-1] for lane in lanes]
+        while todo and len(name):
+            *point, count, own = todo.pop()
             lo, hi = np.searchsorted(total, (count - radius, count + radius + 1))
-            apart = np.bitwise_count(rest[lo:hi] ^ point)
-            near = (apart[:, 0] if apart.shape[1] == 1 else apart.sum(1, dtype=np.int16)) <= radius
-            if near.any():
-                at = np.flatnonzero(near) + lo
-                todo += zip(rest[at], total[at], name[at])
+            apart = np.bitwise_count(lanes[0][lo:hi] ^ point[0])
+            for lane, bits in zip(lanes[1:], point[1:]):
+                apart = np.add(apart, np.bitwise_count(lane[lo:hi] ^ bits), dtype=np.uint16)
+            at = np.flatnonzero(apart <= radius)
+            if len(at):
+                at += lo
+                todo += zip(*(lane[at] for lane in lanes), total[at], name[at])
                 left += [own] * len(at)
                 right += name[at].tolist()
-                stays = np.ones(len(rest), bool)
+                stays = np.ones(len(name), bool)
                 stays[at] = False
-                rest, total, name = rest[stays], total[stays], name[stays]
+                total, name, lanes = total[stays], name[stays], [lane[stays] for lane in lanes]
     return left, right
 
 
