@@ -81,17 +81,17 @@ def test_presence_by_bloom(spark, tmp_path):
 
 
 def test_presence_by_dictionary_and_statistics(spark, tmp_path):
-    words = spark.createDataFrame([("styx",), ("stonks",), ("styx",), ("stab",)], "w string").coalesce(1)
+    words = spark.createDataFrame([("oak",), ("pine",), ("oak",), ("elm",)], "w string").coalesce(1)
     for codec in ("UNCOMPRESSED", "SNAPPY", "GZIP", "ZSTD", "LZ4_RAW"):
         path = str(tmp_path / f"{codec}.parquet")
         sink.write(words, path, codec)
-        assert answers(spark, path, "w", "str") == {(False, "dictionary")}
-        assert answers(spark, path, "w", "stonks") == {(True, "dictionary")}
+        assert answers(spark, path, "w", "fir") == {(False, "dictionary")}
+        assert answers(spark, path, "w", "pine") == {(True, "dictionary")}
         assert answers(spark, path, "w", "a") == {(False, "statistics")}
         assert answers(spark, path, "w", 5) == {(False, "dictionary")}
     path = str(tmp_path / "plain.parquet")
     sink.write(words, path, dictionary=False)
-    assert answers(spark, path, "w", "str") == {(True, "statistics")}
+    assert answers(spark, path, "w", "fir") == {(True, "statistics")}
     nothing = str(tmp_path / "nulls.parquet")
     sink.write(spark.createDataFrame([(None,)], "w string"), nothing)
     assert False in {a for a, _ in answers(spark, nothing, "w", "x")} or answers(spark, nothing, "w", "x") == set()
