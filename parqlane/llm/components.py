@@ -18,6 +18,10 @@ def _state(links: DataFrame):
     return tuple(row)
 
 
+#: Links a file of a round's table holds at least, so that small graphs make few files.
+LINKS_PER_FILE = 500_000
+
+
 def _with_minimum(links: DataFrame) -> DataFrame:
     """u, v, m: m is the least of u and all its v."""
     least = links.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("w"), F.least("u", "least").alias("m"))
@@ -43,9 +47,8 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
         large = large.where("u != v").distinct()
         small = _with_minimum(large)
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        after = materialise(
-            small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct(), "links"
-        )
+        small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct()
+        after = materialise(small.coalesce(1 + 2 * state[0] // LINKS_PER_FILE), "links")
         discard(now)
         was, state, now = state, _state(after), after
         if was == state:

@@ -224,9 +224,7 @@ def near_duplicates(
     )
     named = _grouped(marked, links(marked, ("p",), "p", radius, segment_bits, chunk, agree))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_points = materialise(
-        named.select("p", "root").join(names, "root").select(F.col("p").alias("q"), "component_id"), "components"
-    )
+    of_points = named.select("p", "root").join(names, "root").select(F.col("p").alias("q"), "component_id")
     out = marked.join(of_points, F.col("p") == F.col("q"))
     return out.select(
         *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("p").alias("fingerprint"), "component_id"
@@ -263,7 +261,7 @@ def keep_one(
     marked = fingerprints(marked, "text", ["id", "h"], words, seed, names)
     marked = materialise(marked.withColumn("p", F.xxhash64(*names)), "fingerprints")
     found = links(marked, names, "p", bits_of(similarity, 64 * lanes), segment_bits, chunk, agree)
-    named = materialise(_grouped(marked, found).select(F.col("p").alias("q"), "root"), "components")
+    named = _grouped(marked, found).select(F.col("p").alias("q"), "root")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
     first = marked.join(named, F.col("p") == F.col("q")).groupBy("root").agg(F.min(order).alias("first"))
     first = first.select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
