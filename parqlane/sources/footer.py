@@ -7,6 +7,7 @@ executors, a few files a task, so a table of millions of files is a distributed
 from __future__ import annotations
 
 import datetime as dt
+import re
 import struct
 from dataclasses import dataclass
 from decimal import Decimal
@@ -306,10 +307,17 @@ class FooterSource(DataSource):
         return _FooterReader(self.options)
 
 
+def files_of(spark: SparkSession, *paths: str) -> list[str]:
+    """URIs of the files below the paths, whether or not a frame over them is cached."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path")
+    found = (re.sub("^file:/+", "file:///", r.path) for r in listed.collect())  # as Spark writes _metadata.file_path
+    return sorted(f for f in found if f.rpartition("/")[2] not in ("_metadata", "_common_metadata"))
+
+
 def chunks(spark: SparkSession, *paths: str) -> DataFrame:
     """One row per column chunk of the Parquet files below the paths."""
     spark.dataSource.register(FooterSource)
-    files = sorted(spark.read.parquet(*paths).inputFiles())
+    files = files_of(spark, *paths)
     if not files:
         return spark.createDataFrame([], SCHEMA)
     return spark.read.format("parquet_footer").option("files", "\n".join(files)).load()

@@ -51,6 +51,16 @@ def test_chunks_agree_with_arrow(spark, sf):
                 assert r.min == str(c.statistics.min)
 
 
+def test_files_of_a_cached_frame(spark, sf):
+    cached = spark.read.parquet(f"{sf}/nation.parquet").cache()
+    cached.count()
+    try:
+        assert footer.files_of(spark, f"{sf}/nation.parquet") == [f"file://{sf}/nation.parquet"]
+        assert footer.chunks(spark, f"{sf}/nation.parquet").count() == len(cached.columns)
+    finally:
+        cached.unpersist()
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.integers(0, 2**63), max_size=200), st.integers(1, 20))
 def test_bloom_has_no_false_negatives(values, blocks):
