@@ -20,7 +20,9 @@ def stages(spark, sf):
     out = [spark.read.parquet(f"{sf}/documents.parquet").cache()]
     for _, stage in corpus_pipeline.STAGES:
         out.append(stage(spark, out[-1], sf).cache())
-    return out
+    yield out
+    for frame in out:
+        frame.unpersist()
 
 
 def test_order_and_columns(stages):
