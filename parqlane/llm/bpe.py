@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from parqlane.llm.common import map_columns
 
-MEMO_ENTRIES = 350_000
+MEMO_ENTRIES = 300_000
 MEMO_PAIRS = 2_000_000
 MEMO_CHARS = 200
 LIMIT = 512
