@@ -242,7 +242,101 @@ def bits_of(similarity: float, bits: int) -> int:
     return int(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
+def candidate_bits(similarity: float, bits: int) -> int:
+    """Differing bits that a pair of sets with this Jaccard similarity or more practically never passes.
+
+    Sets of unequal size have a greater cosine, so equal sizes are the worst case; 4.5 standard
+    deviations leave out some 2 of 100,000 pairs that are just so similar, and fewer above.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + 4.5 * math.sqrt(bits * p * (1 - p)))
+
+
+def shingle_set(text: str | None, words: int, seed: int = SEED, lanes: int = 1) -> np.ndarray:
+    """Hashes of the text's different shingles, one row a lane, in the order of the first lane."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.empty((lanes, 0), np.uint64)
+    shingles = {b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))}
+    made = [np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed + k)), np.uint64, len(shingles)) for k in range(lanes)]
+    return np.stack(made)[:, np.argsort(made[0])]
+
+
+def _set_prints(words: int, seed: int, lanes: int):
+    """Texts to the name of their shingle set, its size and the lanes of its fingerprint."""
+
+    def make():
+        def work(texts):
+            out = [[] for _ in range(2 + lanes)]
+            for text in texts:
+                hashes = shingle_set(text, words, seed, lanes)
+                n, ones = hashes.shape[1], np.zeros((lanes, 64), np.int64)
+                for k in range(0, n, _BLOCK):
+                    part = np.ascontiguousarray(hashes[:, k : k + _BLOCK], "<u8").view(np.uint8).reshape(lanes, -1, 8)
+                    ones += np.unpackbits(part, axis=2, bitorder="little").sum(1, dtype=np.int64)
+                prints = np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0]
+                name = int(np.uint64(xxhash.xxh64_intdigest(hashes[0].tobytes(), seed)).view(np.int64))
+                for column, value in zip(out, (name, n, *prints.tolist())):
+                    column.append(value)
+            return out
+
+        return work
+
+    return make
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (positions) of a spanning forest of the sets with this Jaccard similarity or more."""
+    m, sizes = len(sets), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(m), sizes)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    holders, ends = owner[np.argsort(token, kind="stable")], np.cumsum(np.bincount(token))
+    own = np.split(token, np.cumsum(sizes)[:-1])
+    rest, out = np.ones(m, bool), []
+    for first in range(m):
+        todo = [first] if rest[first] else []
+        rest[first] = False
+        while todo:
+            one = todo.pop()
+            near = [holders[ends[t - 1] if t else 0 : ends[t]] for t in own[one].tolist()]
+            if not near:
+                continue
+            met, common = np.unique(np.concatenate(near), return_counts=True)
+            good = met[rest[met] & (common / (sizes[met] + sizes[one] - common) >= similarity)].tolist()
+            rest[good] = False
+            todo += good
+            out += [(one, k) for k in good]
+    return out
+
+
+def _similar_of_groups(words: int, seed: int, similarity: float):
+    """Batches of (group, node, text), by group, to links of nodes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, nodes, sets = None, [], []
+
+        def found():
+            got = similar(sets, similarity) if len(sets) > 1 else []
+            a, b = [nodes[i] for i, _ in got], [nodes[j] for _, j in got]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for group, node, text in zip(*batch.columns):
+                if group.as_py() != now:
+                    yield found()
+                    now, nodes, sets = group.as_py(), [], []
+                nodes.append(node.as_py())
+                sets.append(shingle_set(text.as_py(), words, seed)[0])
+        yield found()
+
+    return run
+
+
 LANES, KEPT_WORDS, SIMILARITY, WIDE_CHUNK = 2, 5, 0.8, 16384
+#: Fixed: shingles (and 64 a document) that a chunk of a group of candidates holds.
+_CHUNK_SHINGLES = 1 << 20
 
 
 def keep_one(
@@ -251,24 +345,47 @@ def keep_one(
 ) -> DataFrame:
     """One row of docs of each component: that with the least id (nulls last), then the least row hash.
 
-    A wide fingerprint of several lanes tells similar from unlike where 64 bits can't: at 0.8 some 10
-    of 64 bits differ, which at scale random pairs reach too; 23 of 128 bits they don't.
+    Links join texts whose sets of shingles have the Jaccard similarity or more, exactly. Fingerprints
+    of the sets only find candidates, within ``candidate_bits``: each component of candidates is
+    compared as a whole, in chunks where it is large.
     """
     hashed = [c for c, kind in docs.dtypes if "map<" not in kind]  # maps have no order, and so no hash
     row = docs.withColumn("__row", F.xxhash64(*(F.col(f"`{c}`") for c in hashed)))
     marked = row.select(F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("h"), F.col(f"`{text_col}`").alias("text"))
     names = [f"lane{k}" for k in range(lanes)]
-    marked = fingerprints(marked, "text", ["id", "h"], words, seed, names)
-    marked = materialise(marked.withColumn("p", F.xxhash64(*names)), "fingerprints")
-    found = links(marked, names, "p", bits_of(similarity, 64 * lanes), segment_bits, chunk, agree)
-    named = _grouped(marked, found).select(F.col("p").alias("q"), "root")
+    fields = [(n, "long") for n in ("p", "size", *names)]
+    marked = materialise(map_columns(marked, ["text"], _set_prints(words, seed, lanes), fields, ["id", "h"]), "fingerprints")
+    found = links(marked, names, "p", candidate_bits(similarity, 64 * lanes), segment_bits, chunk, agree)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
+    found = _verified(row, id_col, text_col, marked, order, found, words, seed, similarity)
+    named = _grouped(marked, found).select(F.col("p").alias("q"), "root")
     first = marked.join(named, F.col("p") == F.col("q")).groupBy("root").agg(F.min(order).alias("first"))
     first = first.select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
     kept = row.join(first, (F.col("__row") == F.col("__h")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
     return kept.dropDuplicates(["__row", id_col]).drop("__row")
 
 
+def _verified(row, id_col, text_col, marked, order, found, words, seed, similarity) -> DataFrame:
+    """a, b: the links that exact comparison leaves of the components of the candidates ``found``."""
+    near = connected_components(found, "a", "b")
+    points = marked.groupBy("p").agg(F.min(order).alias("first"), F.first("size").alias("size"))
+    points = points.join(near, F.col("p") == F.col("node")).select("p", "root", "size", "first.id", "first.h")
+    points = materialise(points, "candidates")
+    chunks = points.groupBy(F.col("root").alias("r")).agg(F.ceil(F.sum(F.col("size") + 64) / _CHUNK_SHINGLES).cast("int").alias("chunks"))
+    points = points.join(chunks, F.col("root") == F.col("r"))
+    texts = row.select(F.col(f"`{id_col}`").alias("__id"), F.col("__row"), F.col(f"`{text_col}`").alias("__text"))
+    held = texts.join(points, (F.col("__row") == F.col("h")) & F.col("__id").eqNullSafe(F.col("id")))
+    held = held.dropDuplicates(["p"])
+    own = F.pmod(F.xxhash64("p"), F.col("chunks")).cast("int")
+    groups = (
+        held.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "p", "__text")
+    )
+    spread = groups.repartition(F.col("group")).sortWithinPartitions("group")
+    return spread.mapInArrow(_similar_of_groups(words, seed, similarity), "a long, b long")
+
+
 def hex_fingerprint(column):
     """A fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

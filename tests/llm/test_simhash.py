@@ -150,3 +150,41 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in connected_components(links, "a", "b").collect()}
     assert got == {k: 100 for k in range(100, 161)} | {k: 1 for k in range(1, 90)}
     assert connected_components(links.where(F.lit(False)), "a", "b").count() == 0
+
+
+def test_keep_one_against_brute_force_jaccard(spark):
+    rng = random.Random(8)
+    sets = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())(t.lower().split())
+    texts = ["", "one two", "One two"]
+    for k in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 120, 300]))]
+        texts += [" ".join(edited(rng, base, n)) for n in (0, 1 + k % 3, len(base) // 40, len(base) // 30, len(base) // 20)]
+        texts += [" ".join(base[: len(base) * 17 // 20]), " ".join([*base, *base[:20] * 20])]
+    prints = [plain_fingerprint(t, 5) | plain_fingerprint(t, 5, 43) << 64 for t in texts]
+    held = [sets(t) for t in texts]
+    parent = list(range(len(texts)))
+    pairs = misses = wrong = 0
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(held[i] & held[j]) >= 0.8 * len(held[i] | held[j])
+            close = (prints[i] ^ prints[j]).bit_count() <= simhash.bits_of(0.8, 128)
+            pairs, misses, wrong = pairs + alike, misses + (alike and not close), wrong + (close and not alike)
+            if alike:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert pairs > 100 and misses and wrong  # what the estimate alone gets wrong
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted({root(i) for i in range(len(texts))})
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
+    one_each = simhash._CHUNK_SHINGLES
+    try:
+        simhash._CHUNK_SHINGLES = 300  # components in chunks
+        assert sorted(r.doc_id for r in simhash.keep_one(df, chunk=64).collect()) == want
+    finally:
+        simhash._CHUNK_SHINGLES = one_each
