@@ -70,9 +70,9 @@ BASE = (
 )
 #: What the ledger's scan finds besides: key blocks, signed web tokens, credentials in addresses.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[ \t\n\r\f\vA-Za-z0-9+/=]*-----END [A-Z ]*PRIVATE KEY-----)?", hints=("private key-----",)),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[ \t\r\f\v]*\n(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n)+)?[ \t\n\r\f\vA-Za-z0-9+/=]*-----END [A-Z ]*PRIVATE KEY-----)?", hints=("private key-----",)),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=("eyj",)),
-    Rule("url", r"\b[A-Za-z][A-Za-z0-9+.-]{1,15}://[^ \t\n\r\f\v/@:]{1,64}:[^ \t\n\r\f\v/@]{1,128}@", hints=("://",)),
+    Rule("url", r"\b[A-Za-z][A-Za-z0-9+.-]{1,15}://[^ \t\n\r\f\v/@:]+:[^ \t\n\r\f\v/@]+@", hints=("://",)),
 )
 RULES = BASE + MORE
 SPANS = "array<struct<kind:string,start:int,end:int>>"

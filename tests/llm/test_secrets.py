@@ -40,6 +40,16 @@ def test_more_kinds():
     assert secrets.find("clean words, and 1234 https://example.org/a:b") == []
 
 
+def test_long_passwords_and_key_headers():
+    address = f"https://{'u' * 100}:{'t' * 900}@"
+    assert secrets.find(f"see {address}host/", secrets.MORE) == [("url", 4, 4 + len(address))]
+    for end in ("\n", "\r\n"):
+        key = end.join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,0123ABCD", "", "abc+/=", "-----END RSA PRIVATE KEY-----"])
+        assert secrets.find(f"a {key} b", secrets.MORE) == [("pem", 2, 2 + len(key))]
+    begin = "-----BEGIN PRIVATE KEY-----"
+    assert secrets.find(f"{begin}\nNote: no key\nwords, and more", secrets.MORE) == [("pem", 0, len(begin))]
+
+
 def rows_of(df):
     return {r.doc_id: [tuple(s) for s in r.secret_spans] for r in df.collect()}
 
