@@ -6,12 +6,14 @@ read with an explicit schema of raw values. The choice comes from one file's foo
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parqlane.sources.footer import Leaf, leaves, read_footer
-from parqlane.sources.ranges import open_ranges
+from parqlane.sources.footer import Leaf, read_footer, some_footer
+from parqlane.sources.ranges import driver_ranges
 
 #: Raw Spark types by logical type.
 RAW = {
@@ -87,15 +89,103 @@ def read_type(leaf: Leaf) -> T.DataType:
     return {"STRING": T.StringType(), "ENUM": T.StringType(), "JSON": T.StringType(), "DATE": T.DateType()}.get(logical, _PLAIN[leaf.physical])
 
 
+#: Fixed by the format: numbers of the annotations in their older form.
+_OLD_MAPS, _OLD_LIST = (1, 2), 3
+
+
+@dataclass(frozen=True)
+class Node:
+    """A field of a file's schema."""
+
+    element: dict
+    children: tuple[Node, ...]
+
+    @property
+    def name(self) -> str:
+        return self.element[4].decode()
+
+    @property
+    def leaf(self) -> Leaf:
+        return Leaf((self.name,), self.element, 0, 0)
+
+    def annotated(self, logical: int, *older: int) -> bool:
+        return logical in self.element.get(10, {}) or self.element.get(6) in older
+
+    def below(self) -> tuple[str, tuple[Node, ...]]:
+        """What the field's values are: ("leaf" | "list" | "map" | "group", the nodes inside)."""
+        if not self.element.get(5):
+            return "leaf", ()
+        inner = self.children[0]
+        if self.annotated(3, _OLD_LIST):
+            wrapped = len(inner.children) == 1 and inner.name not in ("array", f"{self.name}_tuple")
+            return "list", (inner.children[0] if wrapped else inner.once(),)
+        if self.annotated(2, *_OLD_MAPS) and len(inner.children) == 2:
+            return "map", inner.children
+        return "group", self.children
+
+    @property
+    def repeated(self) -> bool:
+        return self.element.get(3) == 2
+
+    def once(self) -> Node:
+        """The field as one element of its list."""
+        return Node({**self.element, 3: 0}, self.children)
+
+    def kind(self) -> T.DataType:
+        """What to read the field as."""
+        if self.repeated:
+            return T.ArrayType(self.once().kind())
+        shape, inside = self.below()
+        if shape == "leaf":
+            return read_type(self.leaf)
+        kinds = [n.kind() for n in inside]
+        if shape == "list":
+            return T.ArrayType(kinds[0])
+        return T.MapType(*kinds) if shape == "map" else T.StructType([T.StructField(n.name, k) for n, k in zip(inside, kinds)])
+
+    def converted(self, value: Column) -> Column:
+        """The field's values from what was read."""
+        if self.repeated:
+            return self._each(value, self.once())
+        shape, inside = self.below()
+        if shape == "leaf":
+            return CONVERT.get(self.leaf.logical, lambda c: c)(value)
+        if not any(n.special() for n in inside):
+            return value
+        if shape == "list":
+            return self._each(value, inside[0])
+        if shape == "map":
+            key, held = inside
+            return F.map_from_entries(F.transform(F.map_entries(value), lambda e: F.struct(key.converted(e["key"]), held.converted(e["value"]))))
+        return F.when(value.isNotNull(), F.struct(*(n.converted(value.getField(n.name)).alias(n.name) for n in inside)))
+
+    @staticmethod
+    def _each(value: Column, node: Node) -> Column:
+        return F.transform(value, node.converted) if node.special() else value
+
+    def special(self) -> bool:
+        """Whether anything in the field has to be converted."""
+        shape, inside = self.below()
+        return self.leaf.logical in CONVERT if shape == "leaf" else any(n.special() for n in inside)
+
+
+def fields_of(footer: dict) -> tuple[Node, ...]:
+    """The fields of a file's schema, in file order."""
+    elements = iter(footer[2])
+
+    def take():
+        e = next(elements)
+        return Node(e, tuple(take() for _ in range(e.get(5) or 0)))
+
+    return take().children
+
+
 def read_any(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
-    """The flat columns of Parquet files, converted where Spark has no type of its own.
+    """Parquet files, flat or nested, converted where Spark has no type of its own.
 
-    ``file``: a file whose footer tells the types; by default one that ``path`` itself names.
+    ``file``: a file whose footer tells the types; by default one of those below ``path``.
     """
-    found = leaves(read_footer(open_ranges(file or path)))
-    if any(len(leaf.path) > 1 for leaf in found):
-        raise ValueError("only flat files need this; read nested ones with an explicit schema")
-    schema = T.StructType([T.StructField(leaf.path[0], read_type(leaf)) for leaf in found])
-    df = spark.read.schema(schema).parquet(path)
-    plain = lambda c: c
-    return df.select(*(CONVERT.get(leaf.logical, plain)(F.col(f"`{leaf.path[0]}`")).alias(leaf.path[0]) for leaf in found))
+    footer = read_footer(driver_ranges(spark, file)) if file else some_footer(spark, path)
+    fields = fields_of(footer)
+    df = spark.read.schema(T.StructType([T.StructField(n.name, n.kind()) for n in fields])).parquet(path)
+    return df.select(*(n.converted(F.col(f"`{n.name}`")).alias(n.name) for n in fields))

@@ -8,6 +8,9 @@ already there, with null groups and null lists staying null.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +19,10 @@ from parqlane.operators.predicates import Path, as_path
 
 
 class ColumnSpec:
-    """A tree of names; None stands for all that is below."""
+    """A tree of names; None stands for all that is below.
+
+    A subclass may answer includes_child and for_child itself; unions ask it too.
+    """
 
     def __init__(self, tree: dict | None):
         self.tree = tree
@@ -37,7 +43,9 @@ class ColumnSpec:
         return True
 
     def __or__(self, other: ColumnSpec) -> ColumnSpec:
-        return ColumnSpec(_merge(self.tree, other.tree))
+        if type(self) is type(other) is ColumnSpec:
+            return ColumnSpec(_merge(self.tree, other.tree))
+        return Either(self, other)
 
     def __eq__(self, other):
         return isinstance(other, ColumnSpec) and self.tree == other.tree
@@ -46,6 +54,26 @@ class ColumnSpec:
         return hash(repr(self.tree))
 
 
+class Either(ColumnSpec):
+    """What any of its members takes; every member is asked."""
+
+    def __init__(self, *members: ColumnSpec):
+        super().__init__(None if any(m.tree is None for m in members) else {})
+        self.members = members
+
+    def includes_child(self, name):
+        return any(m.includes_child(name) for m in self.members)
+
+    def for_child(self, name):
+        return union(*(m.for_child(name) for m in self.members if m.includes_child(name)))
+
+    def __eq__(self, other):
+        return isinstance(other, Either) and self.members == other.members
+
+    def __hash__(self):
+        return hash(self.members)
+
+
 def _merge(a, b):
     if a is None or b is None:
         return None
@@ -71,10 +99,7 @@ def column(*path: str) -> ColumnSpec:
 
 
 def union(*specs: ColumnSpec) -> ColumnSpec:
-    out = no_columns()
-    for s in specs:
-        out = out | s
-    return out
+    return reduce(or_, specs) if specs else no_columns()
 
 
 def prune(kind: T.DataType, spec: ColumnSpec) -> T.DataType | None:

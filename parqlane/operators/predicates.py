@@ -9,8 +9,10 @@ Column algebra, so flat and struct predicates reach the Parquet scan as pushed f
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import ROUND_FLOOR, Context, Decimal
 from functools import reduce
 from operator import and_, ge, gt, le, lt, or_
 from operator import eq as equal
@@ -66,7 +68,9 @@ class Comparison(Predicate):
         return [self.path]
 
     def value_of(self, leaf, kind):
-        return self.compare(leaf, literal(self.value, kind))
+        if isinstance(kind, (T.StructType, T.MapType)):
+            raise LookupError(f"{'.'.join(self.path)} is a group of fields")
+        return _compared(self.compare, leaf, kind, self.value)
 
 
 @dataclass(frozen=True)
@@ -82,9 +86,6 @@ class Custom(Predicate):
     def value_of(self, leaf, kind):
         return self.condition(leaf)
 
-    def lower(self, schema):
-        return at_path(schema, self.path, self.value_of, groups=True)
-
 
 @dataclass(frozen=True)
 class Combined(Predicate):
@@ -108,22 +109,76 @@ class Combined(Predicate):
             groups: dict[object, list[Predicate]] = {}
             for k, p in enumerate(flat):
                 own = set(p.paths())
-                groups.setdefault(own.pop() if len(own) == 1 and not isinstance(p, Custom) else k, []).append(p)
+                groups.setdefault(own.pop() if len(own) == 1 else k, []).append(p)
             lowered = [g[0].lower(schema) if len(g) == 1 else Combined(and_, tuple(g)).lower(schema) for g in groups.values()]
         else:
             lowered = [p.lower(schema) for p in self.parts]
         return reduce(self.combine, lowered)
 
-    def lower(self, schema):
-        if any(isinstance(p, Custom) for p in self.parts) or not self.parts:
-            return self._lower_apart(schema)
-        return super().lower(schema)
+
+#: Fixed: bits of the whole-number types.
+_WHOLE = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def _compared(compare: Callable, leaf: Column, kind: T.DataType, value) -> Column:
+    """compare(leaf, value), with the value as it is: a literal is never narrowed to the column's type.
+
+    Numbers against whole-number and decimal columns, and times against date columns, are brought to
+    the column's grid first: above the grid point below a value is above the value. What the type
+    can't reach is decided for all values that aren't null. So the literal has the column's own type
+    and the comparison reaches the scan. NaN equals itself and is above all numbers, as Spark has it.
+    """
+    if compare not in (equal, gt, ge, lt, le):
+        return compare(leaf, literal(value, kind))
+    if isinstance(kind, (T.FloatType, T.DoubleType)) and value != value:  # a pushed "= NaN" would lose row groups
+        nan = F.isnan(leaf)
+        return leaf.isNotNull() & {equal: nan, ge: nan, gt: F.lit(False), lt: ~nan, le: F.lit(True)}[compare]
+    if isinstance(kind, T.DateType) and isinstance(value, str) and len(value) > 10:
+        value = dt.datetime.fromisoformat(value)
+    if isinstance(kind, T.DateType) and isinstance(value, dt.datetime) and value.tzinfo is None:
+        return _on_grid(compare, leaf, F.lit(value.date()), value.time() == dt.time())
+    number = isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
+    if number and isinstance(kind, (T.DecimalType, *_WHOLE)):
+        if isinstance(kind, T.DecimalType):
+            low, high = -(10**kind.precision) + 1, 10**kind.precision - 1
+            scale = kind.scale
+        else:
+            bits = _WHOLE[type(kind)]
+            low, high, scale = -(1 << bits - 1), (1 << bits - 1) - 1, 0
+        exact = Decimal(repr(value)) if isinstance(value, float) else Decimal(value)
+        above, units = exact.is_nan() or exact > 0, None  # NaN is above all numbers
+        if exact.is_finite() and exact.adjusted() < 80:
+            units = int(exact.scaleb(scale, _WIDE).to_integral_value(ROUND_FLOOR))
+        if units is None or not low <= units <= high:
+            whole = above if units is None else units > high
+            return leaf.isNotNull() & F.lit(compare in ((lt, le) if whole else (gt, ge)))
+        point = F.lit(Decimal(units).scaleb(-scale, _WIDE)).cast(kind) if isinstance(kind, T.DecimalType) else F.lit(units).cast(kind)
+        return _on_grid(compare, leaf, point, Decimal(units) == exact.scaleb(scale, _WIDE))
+    return compare(leaf, literal(value, kind))
+
+
+_WIDE = Context(prec=200)
+
+
+def _on_grid(compare: Callable, leaf: Column, point: Column, exact: bool) -> Column:
+    """The comparison with a value that stands at a grid point, or between it and the next."""
+    if exact:
+        return compare(leaf, point)
+    if compare is equal:
+        return leaf.isNotNull() & F.lit(False)
+    return leaf > point if compare in (gt, ge) else leaf <= point
 
 
 def literal(value, kind: T.DataType) -> Column:
-    """A literal to compare a column of this type with; moments take the column's own type."""
-    made = F.lit(value)
-    return made.cast(kind) if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType, T.DecimalType)) else made
+    """A literal to compare a column of this type with; moments without a zone are the session's."""
+    moments = (T.TimestampNTZType, T.TimestampType)
+    if isinstance(value, dt.datetime) and value.tzinfo is None:
+        return F.lit(str(value)).cast(kind if isinstance(kind, moments) else "timestamp_ntz")
+    if isinstance(value, Decimal) and value.is_finite():
+        return F.lit(Decimal(format(value, "f")))
+    if isinstance(kind, moments) or (isinstance(kind, T.DateType) and not isinstance(value, dt.datetime)):
+        return F.lit(value).cast(kind)
+    return F.lit(value)
 
 
 def kind_at(schema: T.DataType, path: Path) -> T.DataType:
@@ -146,12 +201,9 @@ def _inside(kind: T.DataType) -> T.DataType:
     return kind
 
 
-def at_path(schema: T.StructType, path: Path, condition, groups: bool = False) -> Column:
+def at_path(schema: T.StructType, path: Path, condition) -> Column:
     """condition(leaf, type) for the value, or some value, at a path."""
-    leaf = _inside(kind_at(schema, path))
-    if isinstance(leaf, T.StructType) and not groups:
-        raise LookupError(f"{'.'.join(path)} is a group of fields")
-
+    kind_at(schema, path)
     def down(value: Column, kind: T.DataType, rest: Path) -> Column:
         if isinstance(kind, T.ArrayType):
             return F.exists(value, lambda x: down(x, kind.elementType, rest))

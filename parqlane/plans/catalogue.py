@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parqlane.functions import shapes
+from parqlane.functions import shapes, types
 from parqlane.operators import columns as C
 from parqlane.operators import predicates as P
 from parqlane.operators import presence
 from parqlane.plans.files import ParquetFiles
 from parqlane.plans.scan import ReadSpec, scan
-from parqlane.sources import footer
+from parqlane.sources import footer, ranges, schemas, sink
+from parqlane.sources.stores import scratch_path
+from parqlane.streaming import scan as streaming
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
@@ -219,27 +224,58 @@ def column_index_by_path(spark, sf_dir):
     return ParquetFiles(spark, f"{sf_dir}/lineitem.parquet").chunks().select("path", "column_index").distinct()
 
 
-@query("SELECT count(*) AS group_rows FROM customer")
+def _written(spark, sf_dir, table, change=lambda df: df, files=1, **options):
+    """The table, changed, written again below the shared folder as so many files; their path."""
+    path = scratch_path(spark, table)
+    sink.write(change(spark.read.parquet(f"{sf_dir}/{table}.parquet")).coalesce(files), path, **options)
+    return path
+
+
+def _two_unequal_files(spark, sf_dir):
+    """Orders as two files, of one row group and of several."""
+    path = scratch_path(spark, "orders")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    sink.write(orders.where("o_orderkey % 10 = 0").coalesce(1), path)
+    sink.write(orders.where("o_orderkey % 10 != 0").coalesce(1), path, row_group_bytes=1 << 14, mode="append")
+    return path
+
+
+@query("SELECT count(*) AS group_rows, true AS several FROM orders")
 def row_groups(spark, sf_dir):
-    return ParquetFiles(spark, f"{sf_dir}/customer.parquet").row_groups().agg(F.sum("group_rows").alias("group_rows"))
+    groups = ParquetFiles(spark, _two_unequal_files(spark, sf_dir)).row_groups()
+    return groups.agg(F.sum("group_rows").alias("group_rows"), (F.max("row_group") > 1).alias("several"))
 
 
-@query("SELECT 'value' AS path, count(value) > 0 AS holds_values FROM events")
+def _with_nulls(df):
+    return df.select("event_id", F.when(F.col("value") > 10, F.col("value")).alias("some"), F.lit(None).cast("int").alias("none"))
+
+
+@query("SELECT 'some' AS path, count(CASE WHEN value > 10 THEN 1 END) > 0 AS holds_values FROM events UNION ALL SELECT 'none', false")
 def contains_non_nulls(spark, sf_dir):
-    found = ParquetFiles(spark, f"{sf_dir}/events.parquet").column_chunks("value")
+    found = footer.chunks(spark, _written(spark, sf_dir, "events", _with_nulls)).where("path != 'event_id'")
     holds = presence.contains_non_nulls(F.col("null_count"), F.col("num_values"))
     return found.groupBy("path").agg(F.max(holds).alias("holds_values"))
 
 
-@query("SELECT * FROM nation WHERE n_name = 'FRANCE'")
+@query("SELECT * FROM nation WHERE n_name = 'NATION_3'")
 def scan_where_present(spark, sf_dir):
     files = ParquetFiles(spark, f"{sf_dir}/nation.parquet")
-    return files.scan_where_present("n_name", "FRANCE", ReadSpec(P.equals("n_name", "FRANCE")))
+    return files.scan_where_present("n_name", "NATION_3", ReadSpec(P.equals("n_name", "NATION_3")))
+
 
+@query("SELECT c_custkey, [c_custkey, c_custkey + 1] AS pair FROM customer WHERE c_custkey = 40 OR c_custkey + 1 = 40")
+def scan_where_element_present(spark, sf_dir):
+    """Of several files, those whose list elements may hold the value are read."""
+    path = scratch_path(spark, "pairs")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.array("c_custkey", F.col("c_custkey") + 1).alias("pair"))
+    sink.write(customers.repartitionByRange(4, "c_custkey"), path)
+    return ParquetFiles(spark, path).scan_where_present("pair.list.element", 40, ReadSpec(P.equals("pair", 40)))
 
-@query(None)
+
+@query("SELECT column_name AS path, (row_number() OVER () - 1)::INTEGER AS column_index, (SELECT count(*) FROM lineitem) AS num_values, 0::BIGINT AS null_count FROM (DESCRIBE lineitem)")
 def footer_chunks(spark, sf_dir):
-    return footer.chunks(spark, f"{sf_dir}/lineitem.parquet").drop("file")
+    found = footer.chunks(spark, f"{sf_dir}/lineitem.parquet").groupBy("path", "column_index")
+    return found.agg(F.sum("num_values").alias("num_values"), F.sum("null_count").alias("null_count"))
 
 
 @query("SELECT 'l_quantity' AS path, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem UNION ALL SELECT 'l_orderkey', min(l_orderkey)::DOUBLE, max(l_orderkey)::DOUBLE FROM lineitem")
@@ -249,11 +285,11 @@ def chunk_min_max(spark, sf_dir):
 
 
 @query(
-    "SELECT 'doc_id' AS path, count(*) AS num_values, count(*) - count(doc_id) AS null_count FROM documents "
-    "UNION ALL SELECT 'lang', count(*), count(*) - count(lang) FROM documents"
+    "SELECT 'some' AS path, count(*) AS num_values, count(*) - count(CASE WHEN value > 10 THEN 1 END) AS null_count FROM events "
+    "UNION ALL SELECT 'none', count(*), count(*) FROM events"
 )
 def null_counts(spark, sf_dir):
-    found = footer.chunks(spark, f"{sf_dir}/documents.parquet").where(F.col("path").isin("doc_id", "lang"))
+    found = footer.chunks(spark, _written(spark, sf_dir, "events", _with_nulls)).where("path != 'event_id'")
     return found.groupBy("path").agg(F.sum("num_values").alias("num_values"), F.sum("null_count").alias("null_count"))
 
 
@@ -264,24 +300,184 @@ def might_contain_present(spark, sf_dir):
     return n.crossJoin(asked.agg(F.max("might_contain").alias("present")))  # two single rows
 
 
+def _even_keys(df):
+    return df.select((F.col("c_custkey") * 2).alias("key"), "c_name")
+
+
+@query("SELECT max(CASE WHEN c_custkey * 2 = 55 THEN 1 ELSE 0 END) = 1 AS present, 'bloom' AS decided_by FROM customer")
+def might_contain_absent_in_bloom(spark, sf_dir):
+    """A value between the least and the greatest, refused by the bloom filter alone."""
+    path = _written(spark, sf_dir, "customer", _even_keys, dictionary=False, bloom=["key"])
+    asked = presence.might_contain(spark, path, "key", 55)
+    return asked.groupBy("decided_by").agg(F.max("might_contain").alias("present"))
+
+
+@query("SELECT count(*) AS n FROM customer")
+def bloom_holds_all(spark, sf_dir):
+    """Every value that was written is in the file's filter, as loaded and probed by this library."""
+    path = _written(spark, sf_dir, "customer", _even_keys, dictionary=False, bloom=["c_name"])
+    uri, openers = footer.file_list(spark, path).first().file, dict(ranges.OPENERS)
+
+    def probe(batches):
+        import pyarrow as pa
+
+        source = ranges.open_ranges(uri, openers)
+        groups = footer.row_groups(footer.read_footer(source))
+        filters = [own[1].bloom(source) for _, _, own in groups]
+        for batch in batches:
+            held = [any(bits.might_contain(hashed(v.encode())) for bits, hashed in filters) for v in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.bool_())], names=["held"])
+
+    names = scan(spark, path, ReadSpec(columns=C.column("c_name")))
+    return names.mapInArrow(probe, "held boolean").where("held").agg(F.count("*").alias("n"))
+
+
 @query("SELECT max(CASE WHEN o_orderpriority = '3-NONE' THEN 1 ELSE 0 END) = 1 AS present FROM orders")
 def might_contain_absent_in_dictionary(spark, sf_dir):
     asked = presence.might_contain(spark, f"{sf_dir}/orders.parquet", "o_orderpriority", "3-NONE")
     return asked.agg(F.max("might_contain").alias("present"))
 
 
+@query("SELECT max(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) = 1 AS present FROM orders")
+def might_contain_present_as_bytes(spark, sf_dir):
+    """Bytes asked of a text column are taken as its UTF-8."""
+    asked = presence.might_contain(spark, f"{sf_dir}/orders.parquet", "o_orderpriority", b"5-LOW")
+    return asked.where("decided_by = 'dictionary'").agg(F.max("might_contain").alias("present"))
+
+
 @query("SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment IS NOT NULL")
 def dictionary_values(spark, sf_dir):
     return presence.distinct_values(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_mktsegment")
 
 
-@query("SELECT count(*) AS n, sum(l_quantity) AS total FROM lineitem")
+@query("SELECT DISTINCT o_orderpriority AS value, true AS complete FROM orders")
+def dictionary_pages(spark, sf_dir):
+    """The same from the dictionary pages of the row groups."""
+    pages = ParquetFiles(spark, _two_unequal_files(spark, sf_dir)).dictionary_values("o_orderpriority")
+    return pages.groupBy("value").agg(F.min("complete").alias("complete"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
 def row_group_scope(spark, sf_dir):
-    """All row groups, one by one, are the table."""
-    path = f"{sf_dir}/lineitem.parquet"
-    places = [r.row_group for r in footer.chunks(spark, path).select("row_group").distinct().collect()]
-    df = scan(spark, path, ReadSpec(columns=C.column("l_quantity")), places)
-    return df.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
+    """First, second and further row groups of files that have different numbers of them are the table."""
+    path = _two_unequal_files(spark, sf_dir)
+    last = footer.chunks(spark, path).agg(F.max("row_group")).first()[0]
+    spec = ReadSpec(columns=cols("o_orderkey", "o_totalprice"))
+    parts = [scan(spark, path, spec, groups) for groups in ([0], [1], range(2, last + 1))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# Literals of another kind than the column
+
+
+def _priced(df):
+    return df.select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.col("o_orderdate").cast("date").alias("day"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE CAST(o_totalprice AS DECIMAL(12,2)) > 1005.005 AND CAST(o_totalprice AS DECIMAL(12,2)) <= 200000.019")
+def filter_decimal_finer(spark, sf_dir):
+    """Bounds with more digits than the column has."""
+    where = P.greater_than("price", Decimal("1005.005")) & P.less_than_or_equal("price", 200000.019)
+    return scan(spark, _written(spark, sf_dir, "orders", _priced), ReadSpec(where, C.column("o_orderkey"), keep_predicate_columns=False))
+
+
+@query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= TIMESTAMP '1995-01-01 12:00:00'")
+def filter_date_by_time(spark, sf_dir):
+    where = P.greater_than_or_equal("day", dt.datetime(1995, 1, 1, 12)) & P.less_than("price", 10**15)
+    return scan(spark, _written(spark, sf_dir, "orders", _priced), ReadSpec(where, C.column("o_orderkey"), keep_predicate_columns=False))
+
+
+@query("SELECT * FROM lineitem WHERE l_linenumber > 2.5")
+def filter_int_by_fraction(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem", P.greater_than("l_linenumber", 2.5))
+
+
+@query("SELECT c_custkey, CAST(c_custkey AS DECIMAL(25,3)) AS wide FROM customer WHERE c_custkey < 100")
+def filter_fixed_length_decimal(spark, sf_dir):
+    """Decimals of more than 18 digits are stored as bytes of a fixed length."""
+    path = _written(spark, sf_dir, "customer", lambda df: df.select("c_custkey", F.col("c_custkey").cast("decimal(25,3)").alias("wide")))
+    return scan(spark, path, ReadSpec(P.less_than("wide", 100), C.column("c_custkey")))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
+def filter_boolean(spark, sf_dir):
+    path = _written(spark, sf_dir, "lineitem", lambda df: df.select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("r")), version=2)
+    return scan(spark, path, ReadSpec(P.equals("r", True), cols("l_orderkey", "l_linenumber"), keep_predicate_columns=False))
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_quantity > 45 AND l_tax = 0) OR (bool_or(l_quantity < 2) AND count(*) > 1)")
+def filter_custom_nested(spark, sf_dir):
+    """User conditions on groups inside unions and intersections, on a list of groups read from a file."""
+    path = scratch_path(spark, "lines")
+    sink.write(_orders_with_lines(spark, sf_dir).withColumn("n", F.size("lines")), path)
+    good = P.matching("lines", lambda e: (e["q"] > 45) & (e["more"]["t"] == 0))
+    few = P.intersection(P.matching("lines", lambda e: e["q"] < 2), P.greater_than("n", 1))
+    return scan(spark, path, ReadSpec(P.union(P.intersection(good), few), C.column("l_orderkey"), keep_predicate_columns=False))
+
+
+# Nested files
+
+
+@query("SELECT l_orderkey, max(l_quantity) AS most, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_tax > 0.07)")
+def nested_file(spark, sf_dir):
+    """Lists of groups assembled from a file, pruned to one leaf besides the predicate's."""
+    path = scratch_path(spark, "lines")
+    sink.write(_orders_with_lines(spark, sf_dir), path)
+    found = scan(spark, path, ReadSpec(P.greater_than("lines.more.t", 0.07), cols("l_orderkey", "lines.q")))
+    return found.select("l_orderkey", F.array_max("lines.q").alias("most"), F.size("lines").cast("long").alias("n"))
+
+
+class _Starting(C.ColumnSpec):
+    """A user's own column spec: the top-level fields whose names start so."""
+
+    def __init__(self, start):
+        super().__init__({})
+        self.start = start
+
+    def includes_child(self, name):
+        return name.startswith(self.start)
+
+    def for_child(self, name):
+        return C.all_columns()
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 25")
+def project_by_own_spec(spark, sf_dir):
+    return read(spark, sf_dir, "part", P.greater_than("p_size", 25), C.union(_Starting("p_na"), C.column("p_partkey")))
+
+
+# Codecs, page versions and encodings
+
+
+def _round_trip(name, **options):
+    def again(spark, sf_dir):
+        return scan(spark, _written(spark, sf_dir, "part", **options))
+
+    QUERIES[name], ORACLE_SQL[name] = again, "SELECT * FROM part"
+
+
+_round_trip("codec_none", codec="UNCOMPRESSED")
+_round_trip("codec_snappy_v2", codec="SNAPPY", version=2)
+_round_trip("codec_gzip_v2_no_dictionary", codec="GZIP", version=2, dictionary=False)
+_round_trip("codec_lz4_no_dictionary", codec="LZ4", dictionary=False)
+_round_trip("codec_zstd_several_files", codec="ZSTD", files=3)
+
+
+@query("SELECT * FROM region WHERE r_regionkey < 0")
+def empty_file(spark, sf_dir):
+    path = scratch_path(spark, "empty")
+    sink.write_empty(spark, spark.read.parquet(f"{sf_dir}/region.parquet").schema, path)
+    return scan(spark, path)
+
+
+@query("SELECT * FROM orders WHERE o_totalprice > 100000")
+def stream_of_files(spark, sf_dir):
+    """The same read request over a stream of files, until all that are there are read."""
+    source, out = _written(spark, sf_dir, "orders", files=2), scratch_path(spark, "streamed")
+    frame = streaming.stream(spark, source, spark.read.parquet(source).schema, ReadSpec(P.greater_than("o_totalprice", 100000)))
+    sunk = frame.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+    sunk.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
 
 
 # Shapes
@@ -297,3 +493,87 @@ def as_json(spark, sf_dir):
 def custom_shape(spark, sf_dir):
     kind = T.StructType([T.StructField("r_regionkey", T.IntegerType()), T.StructField("name", T.StringType())])
     return shapes.shaped(read(spark, sf_dir, "region"), lambda row: {"r_regionkey": row["r_regionkey"], "name": row["r_name"].upper()}, kind)
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def as_maps(spark, sf_dir):
+    """Rows as maps on the driver, as an application would take them one by one."""
+    regions = read(spark, sf_dir, "region")
+    return spark.createDataFrame(list(shapes.as_maps(regions)), regions.schema)
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def drained(spark, sf_dir):
+    return spark.createDataFrame([(shapes.drained(read(spark, sf_dir, "lineitem")),)], "n long")
+
+
+def _order_message():
+    """A message type as an application might define it; needs google.protobuf."""
+    from google.protobuf import descriptor_pb2, descriptor_pool
+
+    kinds = descriptor_pb2.FieldDescriptorProto
+    file = descriptor_pb2.FileDescriptorProto(name="order.proto", package="shop", syntax="proto3")
+    file.enum_type.add(name="Status").value.extend(descriptor_pb2.EnumValueDescriptorProto(name=n, number=k) for k, n in enumerate("NFOP"))
+    line, order = file.message_type.add(name="Line"), file.message_type.add(name="Order")
+    line.field.add(name="q", number=1, type=kinds.TYPE_DOUBLE, label=kinds.LABEL_OPTIONAL)
+    order.field.add(name="key", number=1, type=kinds.TYPE_INT64, label=kinds.LABEL_OPTIONAL)
+    order.field.add(name="status", number=2, type=kinds.TYPE_ENUM, type_name=".shop.Status", label=kinds.LABEL_OPTIONAL)
+    order.field.add(name="first", number=3, type=kinds.TYPE_MESSAGE, type_name=".shop.Line", label=kinds.LABEL_OPTIONAL)
+    order.field.add(name="lines", number=4, type=kinds.TYPE_MESSAGE, type_name=".shop.Line", label=kinds.LABEL_REPEATED)
+    order.field.add(name="keys", number=5, type=kinds.TYPE_INT64, label=kinds.LABEL_REPEATED)
+    pool = descriptor_pool.DescriptorPool()
+    pool.Add(file)
+    return pool.FindMessageTypeByName("shop.Order")
+
+
+@query(
+    "SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS first, 2 * o_totalprice AS total, [o_orderkey, o_custkey] AS keys FROM orders"
+)
+def as_protobuf(spark, sf_dir):
+    """Orders as messages, with enums by name, a message and lists inside; parsed again for the result."""
+    descriptor = _order_message()
+    line = F.struct(F.col("o_totalprice").alias("q"))
+    orders = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), line.alias("first"), F.array(line, line).alias("lines"),
+        F.array("o_orderkey", "o_custkey").alias("keys"), F.lit("not in the message").alias("other"),
+    )
+    packed, full_name = shapes.packed_descriptor(descriptor)
+
+    def parse(batches):
+        import pyarrow as pa
+
+        message = shapes.message_class(packed, full_name)
+        for batch in batches:
+            got = [message.FromString(m) for m in batch.column(0).to_pylist()]
+            columns = [
+                [m.key for m in got], ["NFOP"[m.status] for m in got], [m.first.q for m in got], [sum(x.q for x in m.lines) for m in got],
+                [list(m.keys) for m in got],
+            ]
+            kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "status", "first", "total", "keys"])
+
+    return shapes.as_protobuf(orders, descriptor).mapInArrow(parse, "key long, status string, first double, total double, keys array<long>")
+
+
+@query(
+    "SELECT * FROM (VALUES ('key', 'bigint'), ('status', 'string'), ('first', 'struct<q:double>'), ('lines', 'array<struct<q:double>>'), "
+    "('keys', 'array<bigint>')) AS t(name, type)"
+)
+def schema_of_descriptor(spark, sf_dir):
+    fields = schemas.from_descriptor(_order_message()).fields
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in fields], "name string, type string")
+
+
+@query("SELECT * FROM (VALUES ('l_orderkey', 'bigint'), ('l_quantity', 'double'), ('l_returnflag', 'string'), ('l_shipdate', 'timestamp_ntz')) AS t(path, type)")
+def column_types(spark, sf_dir):
+    files = ParquetFiles(spark, f"{sf_dir}/lineitem.parquet")
+    asked = ("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate")
+    return spark.createDataFrame([(p, files.column_type(p).simpleString()) for p in asked], "path string, type string")
+
+
+@query("SELECT * FROM orders")
+def read_any_type(spark, sf_dir):
+    """With the schema made from the footer, of a folder of files, lists and groups included."""
+    line = F.struct(*(F.col(c) for c in ("o_totalprice", "o_orderdate", "o_orderpriority")))
+    path = _written(spark, sf_dir, "orders", lambda df: df.select("o_orderkey", "o_custkey", "o_orderstatus", F.array(line).alias("more")), files=2)
+    return types.read_any(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", F.inline("more"))

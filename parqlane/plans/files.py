@@ -49,6 +49,10 @@ class ParquetFiles:
     def might_contain(self, path, value) -> DataFrame:
         return presence.might_contain(self.spark, self.path, ".".join(P.as_path(path)), value)
 
+    def dictionary_values(self, path) -> DataFrame:
+        """file, row_group, complete, value: what the column's dictionary pages hold."""
+        return presence.dictionary_values(self.spark, self.path, ".".join(P.as_path(path)))
+
     def scan(self, spec: ReadSpec | None = None, row_groups: Iterable[int] | None = None) -> DataFrame:
         return scan(self.spark, self.path, spec, row_groups)
 

@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from parqlane.operators import columns as C
 from parqlane.operators import predicates as P
-from parqlane.sources.footer import chunks
+from parqlane.sources.footer import CODECS, ENCODINGS, chunks, read_footer, whole_uri
+from parqlane.sources.footer import row_groups as groups_of
+from parqlane.sources.ranges import driver_ranges
 
 
 @dataclass(frozen=True)
@@ -51,36 +53,69 @@ def scan(spark: SparkSession, path: str, spec: ReadSpec | None = None, row_group
     """Rows of the Parquet files below ``path``.
 
     Only the pruned schema is asked of the files, nested leaves included. ``row_groups``: places of
-    row groups in their files; others' rows are left out by their row index.
+    row groups in their files; others' rows are left out by their row index. Files that Spark's
+    vectorised reader gets wrong are refused while it is on (``needs_row_reader``).
     """
     spec = spec or ReadSpec()
-    schema = spark.read.parquet(path).schema
+    there = spark.read.parquet(path)
+    schema = there.schema
+    if spark.conf.get("spark.sql.parquet.enableVectorizedReader") == "true" and needs_row_reader(spark, path, there.inputFiles()):
+        raise UnsafeEncoding(f"set spark.sql.parquet.enableVectorizedReader to false to read {path}: its encodings need the row reader")
     df = spark.read.schema(spec.read_schema(schema)).parquet(path)
     if row_groups is not None:
         df = within_row_groups(spark, df, path, row_groups)
     return spec.apply(df)
 
 
-def needs_row_reader(spark: SparkSession, path: str) -> bool:
+class UnsafeEncoding(ValueError):
+    pass
+
+
+#: Files whose footers the driver reads itself; more are read by a job.
+FEW_FILES = 16
+
+
+def needs_row_reader(spark: SparkSession, path: str, files: list[str] | None = None) -> bool:
     """Whether Spark's vectorised reader can't be trusted with these files.
 
     It misreads delta-encoded strings in uncompressed pages and refuses split byte streams; with
-    spark.sql.parquet.enableVectorizedReader=false both are read right.
+    spark.sql.parquet.enableVectorizedReader=false both are read right. files: what ``path`` holds,
+    if that is known.
     """
+    if files is not None and len(files) <= FEW_FILES:
+        return any(_unsafe(CODECS[c.meta[4]], [ENCODINGS.get(e, str(e)) for e in c.meta[2]]) for f in files for _, _, own in groups_of(read_footer(driver_ranges(spark, f))) for c in own)
     uncompressed = (F.col("codec") == "UNCOMPRESSED") & F.array_contains("encodings", "DELTA_BYTE_ARRAY")
     found = chunks(spark, path).where(uncompressed | F.array_contains("encodings", "BYTE_STREAM_SPLIT"))
     return not found.isEmpty()
 
 
+def _unsafe(codec: str, encodings: list[str]) -> bool:
+    return (codec == "UNCOMPRESSED" and "DELTA_BYTE_ARRAY" in encodings) or "BYTE_STREAM_SPLIT" in encodings
+
+
 def within_row_groups(spark: SparkSession, df: DataFrame, path: str, row_groups: Iterable[int]) -> DataFrame:
     """df, read from ``path``, with the rows of the given row groups alone."""
     wanted = sorted(set(row_groups))
-    bounds = chunks(spark, path).where(F.col("column_index") == 0).where(F.col("row_group").isin(wanted))
-    bounds = bounds.select("row_group", "first_row", "group_rows", "file").distinct()
-    by_place = bounds.groupBy("row_group").agg(F.count_distinct("first_row", "group_rows").alias("n"), F.first("first_row").alias("a"), F.first("group_rows").alias("b")).collect()
-    if by_place and all(r.n == 1 for r in by_place):  # the same rows in each file: a plain filter
+    every = chunks(spark, path).where(F.col("column_index") == 0).select("row_group", "first_row", "group_rows", "file")
+    bounds = every.where(F.col("row_group").isin(wanted))
+    files = every.agg(F.count_distinct("file")).first()[0]
+    by_place = bounds.groupBy("row_group").agg(
+        F.count_distinct("first_row", "group_rows").alias("places"), F.count_distinct("file").alias("files"),
+        F.first("first_row").alias("a"), F.first("group_rows").alias("b"),
+    ).collect()
+    if by_place and all(r.places == 1 and r.files == files for r in by_place):  # the same rows in every file: a plain filter
         index = F.col("_metadata.row_index")
         return df.where(reduce(or_, ((index >= r.a) & (index < r.a + r.b) for r in by_place)))
-    marked = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    inside = (F.col("__file") == F.col("file")) & (F.col("__row") >= F.col("first_row")) & (F.col("__row") < F.col("first_row") + F.col("group_rows"))
-    return marked.join(bounds, inside, "left_semi").drop("__file", "__row")
+    file, row, group, first, n = (unused(c, df.columns) for c in ("file", "row", "group_file", "first_row", "group_rows"))
+    marked = df.select("*", whole_uri(F.col("_metadata.file_path")).alias(file), F.col("_metadata.row_index").alias(row))
+    held = bounds.select(F.col("file").alias(group), F.col("first_row").alias(first), F.col("group_rows").alias(n))
+    inside = (F.col(file) == F.col(group)) & (F.col(row) >= F.col(first)) & (F.col(row) < F.col(first) + F.col(n))
+    return marked.join(held, inside, "left_semi").drop(file, row)
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """name, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

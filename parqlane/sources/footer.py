@@ -1,22 +1,26 @@
 """Parquet footers: row groups and column chunks with statistics, dictionaries and bloom filters.
 
-``chunks`` gives a DataFrame of one row per (file, row group, column chunk). Footers are read on the
-executors, a few files a task, so a table of millions of files is a distributed scan of footers.
+``chunks`` gives a DataFrame of one row per (file, row group, column chunk). Files are listed and
+their footers read by tasks, a few files each, so a table of millions of files is a distributed scan
+of footers and no list of files reaches the driver's Python. Files in a store that executors have no
+opener for (``ranges.OPENERS``) are read by the driver, one after another.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 import struct
+import uuid
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parqlane.sources.bloom import plain_bytes, read_filter
-from parqlane.sources.ranges import ByteRanges, open_ranges
+from parqlane.sources.ranges import OPENERS, ByteRanges, driver_ranges, open_ranges, scheme_of
 from parqlane.sources.thrift import Reader
 
 #: Fixed by the format: names by number.
@@ -99,9 +103,22 @@ def leaves(footer: dict) -> list[Leaf]:
 
 
 def typed(data: bytes | None, leaf: Leaf):
-    """A statistic's bytes as a value; bytes that aren't text, and unknown kinds, stay bytes."""
+    """A statistic's bytes as a value.
+
+    Bytes that aren't text, and unknown kinds, stay bytes; moments that Python's calendar doesn't
+    reach stay numbers.
+    """
     if data is None:
         return None
+    try:
+        return _typed(data, leaf)
+    except UnicodeDecodeError:
+        return data
+    except OverflowError:
+        return int.from_bytes(data, "little", signed=True)
+
+
+def _typed(data: bytes, leaf: Leaf):
     physical, logical = leaf.physical, leaf.logical or ""
     if physical == "BOOLEAN":
         return bool(data[0])
@@ -205,8 +222,11 @@ class Chunk:
     def might_contain(self, value, source: ByteRanges | None) -> tuple[bool, str]:
         """(answer, what decided): statistics, then bloom filter, then a complete dictionary, then nulls.
 
-        False is certain. What is missing or of another kind than the value rules nothing out.
+        False is certain. What is missing rules nothing out. The value is first brought to the
+        column's kind (``coerced``); one that no such column can hold is in no dictionary, but
+        statistics and filters can't tell. NaN equals NaN, and zero equals negative zero.
         """
+        value = coerced(value, self.leaf)
         bounds = self.range()
         if bounds is not None:
             try:
@@ -216,20 +236,68 @@ class Chunk:
                 pass
         if source is not None:
             found = self.bloom(source)
-            if found is not None:
-                try:
-                    data = plain_bytes(_stored(value, self.leaf), self.leaf.physical)
-                except (KeyError, struct.error, TypeError):
-                    data = None
-                if data is not None and not found[0].might_contain(found[1](data)):
-                    return False, "bloom"
+            if found is not None and (stored := _patterns(value, self.leaf)) and not any(found[0].might_contain(found[1](x)) for x in stored):
+                return False, "bloom"
             if self.dictionary_complete and (values := self.dictionary(source)) is not None:
-                return value in values, "dictionary"
+                return value in values or (value != value and any(v != v for v in values)), "dictionary"
         if self.null_count is not None and self.null_count >= self.meta[5]:
             return False, "nulls"
         return True, "statistics" if bounds is not None else "nothing"
 
 
+def coerced(value, leaf: Leaf):
+    """A value as this column's values come from ``typed``: text and bytes, numbers, dates and UUIDs."""
+    logical, physical = leaf.logical or "", leaf.physical
+    text = logical in ("STRING", "ENUM", "JSON") or (physical == "BYTE_ARRAY" and leaf.element.get(6) in (0, 4, 19))
+    if isinstance(value, uuid.UUID):
+        return str(value) if text else value.bytes
+    if isinstance(value, (bytes, bytearray)) and text:
+        try:
+            return bytes(value).decode()
+        except UnicodeDecodeError:
+            return bytes(value)
+    if isinstance(value, str) and not text:
+        if logical == "UUID":
+            try:
+                return uuid.UUID(value).bytes
+            except ValueError:
+                return value
+        return value.encode() if physical in ("BYTE_ARRAY", "FIXED_LEN_BYTE_ARRAY") and "DECIMAL" not in logical else value
+    if isinstance(value, dt.datetime) and logical == "DATE" and value.time() == dt.time():
+        return value.date()
+    if type(value) is dt.date and logical.startswith("TIMESTAMP"):
+        return dt.datetime(value.year, value.month, value.day)
+    if isinstance(value, dt.datetime) and value.tzinfo is not None:
+        return value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    if isinstance(value, float) and logical.startswith("DECIMAL") and math.isfinite(value):
+        return Decimal(repr(value))
+    return value
+
+
+def _patterns(value, leaf: Leaf) -> list[bytes]:
+    """The bytes by which a bloom filter may know a value; none if the filter can't tell."""
+    stored, physical = _stored(value, leaf), leaf.physical
+    if stored != stored:
+        return []  # NaN has many patterns
+    try:
+        if physical in ("INT32", "INT64") and isinstance(stored, (float, Decimal)):
+            if stored != int(stored):
+                return []
+            stored = int(stored)
+        if physical in ("BYTE_ARRAY", "FIXED_LEN_BYTE_ARRAY") and not isinstance(stored, (str, bytes, bytearray)):
+            return []
+        wanted = [stored]
+        if physical in ("FLOAT", "DOUBLE"):
+            wanted = [0.0, -0.0] if stored == 0 else [float(stored)]
+            if physical == "FLOAT" and struct.unpack("<f", struct.pack("<f", wanted[0]))[0] != wanted[0]:
+                return []
+        if "unsigned" in (leaf.logical or "") and stored >= 1 << (31 if physical == "INT32" else 63):
+            wanted = [stored - (1 << (32 if physical == "INT32" else 64))]
+        return [plain_bytes(v, physical) for v in wanted]
+    except (KeyError, struct.error, TypeError, ValueError, OverflowError):
+        return []
+
+
 def _stored(value, leaf: Leaf):
     logical = leaf.logical or ""
     if isinstance(value, dt.datetime):
@@ -237,6 +305,8 @@ def _stored(value, leaf: Leaf):
         return micros // 1000 if "MILLIS" in logical else micros
     if isinstance(value, dt.date):
         return (value - dt.date(1970, 1, 1)).days
+    if isinstance(value, Decimal) and logical.startswith("DECIMAL") and leaf.physical in ("INT32", "INT64") and value.is_finite():
+        return value.scaleb(leaf.element[10][5][1])
     return value
 
 
@@ -255,9 +325,9 @@ null_count long, has_min_max boolean, min string, max string, has_dictionary boo
 has_bloom boolean, compressed_bytes long, uncompressed_bytes long"""
 
 
-def chunk_rows(uri: str):
+def chunk_rows(uri: str, source: ByteRanges):
     """The rows of ``chunks`` for one file."""
-    for k, (first, rows, own) in enumerate(row_groups(read_footer(open_ranges(uri)))):
+    for k, (first, rows, own) in enumerate(row_groups(read_footer(source))):
         for i, c in enumerate(own):
             bounds, m = c.range(), c.meta
             low, high = (None, None) if bounds is None else (_said(b) for b in bounds)
@@ -274,50 +344,65 @@ def _said(value) -> str:
     return value.hex() if isinstance(value, bytes) else str(value)
 
 
-class _Files(InputPartition):
-    def __init__(self, uris):
-        self.uris = uris
+#: Files a task of a footer scan reads.
+FILES_A_TASK = 32
 
 
-class _FooterReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = options
+def whole_uri(column: Column) -> Column:
+    """Local files with three slashes, however Spark came by their names."""
+    return F.regexp_replace(column, "^file:/+", "file:///")
 
-    def partitions(self):
-        uris = self.options["files"].split("\n")
-        each = int(self.options.get("filespertask", 32))
-        return [_Files(uris[k : k + each]) for k in range(0, len(uris), each)]
 
-    def read(self, partition):
-        for uri in partition.uris:
-            yield from chunk_rows(uri)
+def file_list(spark: SparkSession, *paths: str) -> DataFrame:
+    """file: URIs of the files below the paths."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    name = F.substring_index("file", "/", -1)
+    files = listed.select(whole_uri(F.col("path")).alias("file"))
+    return files.where(~name.isin("_metadata", "_common_metadata"))
 
 
-class FooterSource(DataSource):
-    """Format "parquet_footer"; option files: URIs, one a line."""
+def files_of(spark: SparkSession, *paths: str) -> list[str]:
+    """URIs of the files below the paths, on the driver."""
+    return sorted(r.file for r in file_list(spark, *paths).collect())
 
-    @classmethod
-    def name(cls):
-        return "parquet_footer"
 
-    def schema(self):
-        return SCHEMA
+def some_footer(spark: SparkSession, path: str) -> dict:
+    """The footer of one of the files below a path, read by the driver."""
+    first = file_list(spark, path).first()
+    if first is None:
+        raise NotParquet(f"no file below {path}")
+    return read_footer(driver_ranges(spark, first.file))
 
-    def reader(self, schema):
-        return _FooterReader(self.options)
 
+def over_files(spark: SparkSession, paths, rows_of, schema: str) -> DataFrame:
+    """Rows (tuples) that rows_of(uri, source) gives for every file below the paths."""
+    from pyspark.sql.types import _parse_datatype_string
 
-def files_of(spark: SparkSession, *paths: str) -> list[str]:
-    """URIs of the files below the paths, whether or not a frame over them is cached."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path")
-    found = (re.sub("^file:/+", "file:///", r.path) for r in listed.collect())  # as Spark writes _metadata.file_path
-    return sorted(f for f in found if f.rpartition("/")[2] not in ("_metadata", "_common_metadata"))
+    kind, openers = _parse_datatype_string(schema), dict(OPENERS)
+    if not {scheme_of(p) or _default_scheme(spark) for p in paths} <= set(openers):
+        found = [row for uri in files_of(spark, *paths) for row in rows_of(uri, driver_ranges(spark, uri))]
+        return spark.createDataFrame(found, kind)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(kind)
+        for batch in batches:
+            rows = [row for uri in batch.column(0).to_pylist() for row in rows_of(uri, open_ranges(uri, openers))]
+            columns = list(zip(*rows)) or [()] * len(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    files = file_list(spark, *paths)
+    tasks = files._jdf.queryExecution().toRdd().getNumPartitions()
+    return files.coalesce(max(1, -(-tasks // FILES_A_TASK), min(tasks, spark.sparkContext.defaultParallelism))).mapInArrow(run, kind)
+
+
+def _default_scheme(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    return scheme_of(sc._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(sc._jsc.hadoopConfiguration()).toString())
 
 
 def chunks(spark: SparkSession, *paths: str) -> DataFrame:
     """One row per column chunk of the Parquet files below the paths."""
-    spark.dataSource.register(FooterSource)
-    files = files_of(spark, *paths)
-    if not files:
-        return spark.createDataFrame([], SCHEMA)
-    return spark.read.format("parquet_footer").option("files", "\n".join(files)).load()
+    return over_files(spark, paths, chunk_rows, SCHEMA)

@@ -1,5 +1,9 @@
+import datetime as dt
 import operator
+from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -107,6 +111,92 @@ def test_repeated_paths(spark, path):
     check(P.everything(), lambda r: True)
 
 
+def test_user_conditions_anywhere(spark, path):
+    """matching() below unions and intersections; on one path it looks at the same element as the rest."""
+    df = spark.read.parquet(path)
+    plain = [r.asDict(recursive=True) for r in df.collect()]
+
+    def check(predicate, want):
+        assert ids(df.where(predicate.lower(df.schema))) == [r["id"] for r in plain if want(r)]
+
+    first, last = P.matching("reps", lambda e: e["s"] == "s1"), P.matching("reps", lambda e: e["e"] == 0)
+    some = lambda r, f: any(f(x) for x in r["reps"] or [])
+    check(P.union(P.intersection(first, P.equals("a", 1)), P.intersection(last, P.equals("b", 2))), lambda r: (some(r, lambda x: x["s"] == "s1") and r["a"] == 1) or (some(r, lambda x: x["e"] == 0) and r["b"] == 2))
+    check(P.union(P.intersection(first), P.intersection(last)), lambda r: some(r, lambda x: x["s"] == "s1" or x["e"] == 0))
+    check(P.intersection(P.union(first), P.union(last)), lambda r: some(r, lambda x: x["s"] == "s1" and x["e"] == 0))
+    check(P.matching("tags", lambda x: x % 2 == 0) & P.greater_than("tags", 4), lambda r: any(x % 2 == 0 and x > 4 for x in r["tags"] or []))
+
+
+LITERALS = [
+    Decimal("1.005"), Decimal("-0.01"), Decimal("99.999"), Decimal("1E+6"), Decimal("-1E+6"), 1.005, -0.5, 0.1, 7, -7, 1000, 10**40, -(10**40), 2.5, Decimal("1.00"),
+    float("inf"), float("-inf"),
+]
+
+
+@pytest.mark.parametrize("kind", ["decimal(4,2)", "decimal(38,6)", "tinyint", "bigint"])
+def test_numbers_are_never_narrowed(spark, kind):
+    values = [Decimal(v) for v in ("-99.99", "-1", "-0.01", "0", "0.1", "1", "1.01", "2", "3", "7", "99.99")]
+    if "int" in kind:
+        values = [v for v in values if v == int(v)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v decimal(38,6)").selectExpr(f"CAST(v AS {kind}) AS v").cache()
+    every = [(value, compare) for value in LITERALS for compare in (operator.eq, operator.gt, operator.ge, operator.lt, operator.le)]
+    told = df.select("v", *(P.Comparison(c, ("v",), v).lower(df.schema).alias(f"c{k}") for k, (v, c) in enumerate(every))).collect()
+    for k, (value, compare) in enumerate(every):
+        exact = Decimal(repr(value)) if isinstance(value, float) else Decimal(value)
+        got = sorted(Decimal(r.v) for r in told if r[f"c{k}"])
+        assert got == [v for v in values if compare(v, exact)], (value, compare)
+    df.unpersist()
+
+
+def test_decimals_reach_the_scan(spark, tmp_path):
+    where = str(tmp_path / "d.parquet")
+    spark.range(9).selectExpr("CAST(id AS decimal(10,2)) AS d").write.parquet(where)
+    for value in (Decimal("1.005"), 1.005, 7):
+        assert "PushedFilters: [IsNotNull(d), GreaterThan(d," in scan(spark, where, ReadSpec(P.greater_than("d", value)))._jdf.queryExecution().toString()
+
+
+def test_dates_and_times(spark):
+    days = [dt.date(2023, 12, 31), dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+    df = spark.createDataFrame([(d, dt.datetime(d.year, d.month, d.day)) for d in days], "d date, t timestamp_ntz")
+
+    def got(predicate):
+        return sorted(r.d.day for r in df.where(predicate.lower(df.schema)).collect())
+
+    noon, midnight = dt.datetime(2024, 1, 1, 12), dt.datetime(2024, 1, 1)
+    assert got(P.greater_than_or_equal("d", noon)) == [2] and got(P.greater_than("d", noon)) == [2]
+    assert got(P.less_than("d", noon)) == got(P.less_than_or_equal("d", noon)) == [1, 31] and got(P.equals("d", noon)) == []
+    assert got(P.equals("d", midnight)) == [1] and got(P.greater_than_or_equal("d", midnight)) == [1, 2] and got(P.less_than("d", midnight)) == [31]
+    assert got(P.equals("d", "2024-01-01")) == [1] and got(P.equals("d", "2024-01-01 12:00:00")) == []
+    assert got(P.equals("t", dt.date(2024, 1, 1))) == [1] and got(P.greater_than("t", noon)) == [2] and got(P.equals("t", midnight)) == [1]
+
+
+def test_nan_is_a_value(spark, tmp_path):
+    where = str(tmp_path / "n.parquet")
+    spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None)], "id int, v double").write.parquet(where)
+    nan = float("nan")
+    for make, want in ((P.equals, [2]), (P.greater_than, []), (P.greater_than_or_equal, [2]), (P.less_than, [1]), (P.less_than_or_equal, [1, 2])):
+        assert ids(scan(spark, where, ReadSpec(make("v", nan)))) == want
+
+
+def test_own_column_specs_in_unions(spark, path):
+    class Short(C.ColumnSpec):
+        def __init__(self):
+            super().__init__({})
+
+        def includes_child(self, name):
+            return len(name) == 1
+
+        def for_child(self, name):
+            return C.all_columns()
+
+    df = spark.read.parquet(path)
+    assert C.project(df, Short()).columns == ["a", "b", "m"]
+    both = C.union(C.column("child.s"), Short(), C.column("id"))
+    assert C.project(df, both).schema.simpleString() == "struct<id:int,a:int,b:int,child:struct<s:string>,m:map<string,struct<v:int>>>"
+    assert scan(spark, path, ReadSpec(P.equals("child.x", 8), C.union(Short()))).columns == ["a", "b", "child", "m"]
+    assert both.includes_path("child.s") and not both.includes_path("child.x") and both == C.union(C.column("child.s"), both.members[0].members[1], C.column("id"))
+
+
 def test_mistakes_are_told(spark, path):
     schema = spark.read.parquet(path).schema
     with pytest.raises(ValueError):
@@ -161,6 +251,17 @@ def test_row_groups(spark, tmp_path):
     assert scan(spark, two, row_groups=[0]).count() == sum(n for _, _, n in places)
 
 
+def test_row_groups_of_files_with_unequal_numbers(spark, tmp_path):
+    """A group that only some files have is read from these alone, whatever columns are called."""
+    where = tmp_path / "unequal"
+    where.mkdir()
+    pq.write_table(pa.table({"file": range(1000), "row": range(1000)}), where / "a.parquet")
+    pq.write_table(pa.table({"file": range(5000, 6000), "row": range(1000)}), where / "b.parquet", row_group_size=500)
+    got = scan(spark, str(where), row_groups=[1])
+    assert got.columns == ["file", "row"] and sorted(r.file for r in got.collect()) == list(range(5500, 6000))
+    assert scan(spark, str(where), row_groups=[0]).count() == 1500 and scan(spark, str(where), row_groups=[7]).count() == 0
+
+
 def test_stream(spark, path):
     from parqlane.streaming.scan import stream
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import uuid
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from parqlane.functions import shapes, types
 from parqlane.operators import presence
-from parqlane.plans.scan import needs_row_reader
+from parqlane.plans.scan import UnsafeEncoding, needs_row_reader, scan
 from parqlane.sources import bloom, footer, ranges, schemas, sink
 
 
@@ -188,6 +189,98 @@ def test_logical_types(spark, tmp_path):
     assert (one.f16, two.f16) == (1.5, -65504.0) and str(two.dec) == "12.00" and (one.s, bytes(one.b)) == ("x", b"x")
 
 
+def test_logical_types_in_nested_files_of_a_folder(spark, tmp_path):
+    ids = [uuid.UUID(int=5), uuid.UUID(int=2**127 + 9)]
+    raw = pa.ExtensionArray.from_storage(pa.uuid(), pa.array([i.bytes for i in ids], pa.binary(16)))
+    when = pa.array([1_500, 2_000_000_999], pa.time64("ns"))
+    table = pa.table({
+        "group": pa.StructArray.from_arrays([raw, when], names=["id", "t"]),
+        "list": pa.ListArray.from_arrays([0, 2, 2], pa.StructArray.from_arrays([raw], names=["id"])),
+        "map": pa.MapArray.from_arrays([0, 1, 2], pa.array(["a", "b"]), when),
+        "plain": pa.array([[1, None], None]),
+    })
+    for k in range(2):
+        (tmp_path / "d").mkdir(exist_ok=True)
+        pq.write_table(table.slice(k, 1), tmp_path / "d" / f"{k}.parquet")
+    one, two = sorted(types.read_any(spark, str(tmp_path / "d")).collect(), key=lambda r: r.group.id)
+    us = dt.timedelta(microseconds=1)
+    assert (one.group.id, one.group.t, [x.id for x in one.list], one.map, one.plain) == (str(ids[0]), us, list(map(str, ids)), {"a": us}, [1, None])
+    assert (two.group.id, two.group.t, two.list, two.map, two.plain) == (str(ids[1]), dt.timedelta(seconds=2), [], {"b": dt.timedelta(seconds=2)}, None)
+
+
+def test_statistics_that_python_cannot_say(spark, tmp_path):
+    """Bytes that aren't text and moments beyond the calendar stay what they are; the rest of the footer is read."""
+    path, leaf = str(tmp_path / "t.parquet"), lambda kind: pa.array([2**62, -(2**62)], pa.int64()).view(kind)
+    pq.write_table(pa.table({"t": leaf(pa.timestamp("us")), "n": [1, 2]}), path)
+    rows = {r.path: r for r in footer.chunks(spark, path).collect()}
+    assert (rows["t"].min, rows["t"].max, rows["n"].max) == (str(-(2**62)), str(2**62), "2")
+    text = footer.Leaf(("s",), {1: 6, 10: {1: {}}}, 0, 0)
+    day = footer.Leaf(("d",), {1: 1, 10: {6: {}}}, 0, 0)
+    assert footer.typed(b"ok", text) == "ok" and footer.typed(b"\xff\xfe", text) == b"\xff\xfe"
+    assert footer.typed((2**31 - 1).to_bytes(4, "little"), day) == 2**31 - 1
+
+
+def test_values_of_another_kind(spark, tmp_path):
+    path = str(tmp_path / "k.parquet")
+    nan = float("nan")
+    pq.write_table(pa.table({
+        "b": pa.array([b"abc", b"z", b"abc"], pa.binary()), "s": ["abc", "z", "abc"], "d": [1.0, nan, 0.0], "i": pa.array([1, 4, 9], pa.int32()),
+        "t": pa.array([dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3), None], pa.timestamp("us")), "day": pa.array([dt.date(2024, 1, 1), dt.date(2024, 1, 3), None]),
+        "m": pa.array([Decimal("1.50"), Decimal("2.00"), None], pa.decimal128(9, 2)),
+    }), path)
+    asked = lambda column, value: {a for a, _ in answers(spark, path, column, value)}
+    assert asked("b", "abc") == asked("s", b"abc") == asked("b", b"abc") == asked("s", "abc") == {True}
+    assert asked("b", "abd") == asked("s", b"abd") == asked("s", b"\xff") == {False}
+    assert asked("d", nan) == asked("d", -0.0) == asked("d", 1) == {True} and asked("d", 0.5) == {False}
+    assert asked("i", 4.0) == {True} and asked("i", 4.5) == asked("i", 5) == asked("i", 10**30) == {False}
+    assert asked("t", dt.date(2024, 1, 3)) == asked("day", dt.datetime(2024, 1, 3)) == {True}
+    assert asked("t", dt.date(2024, 1, 2)) == asked("day", dt.datetime(2024, 1, 3, 1)) | {False} == {False}
+    assert asked("m", 1.5) == asked("m", 2) == {True} and asked("m", 1.501) == {False}
+    filtered = str(tmp_path / "f.parquet")
+    sink.write(spark.createDataFrame([(0.0, 5), (2.0, 7)], "d double, i int").coalesce(1), filtered, dictionary=False, bloom=["d", "i"])
+    asked = lambda column, value: {a for a, _ in answers(spark, filtered, column, value)}
+    assert asked("d", -0.0) == asked("d", 0) == asked("d", 2) == asked("d", nan) == asked("i", 5.0) == {True} and asked("i", 6.0) == {False}
+
+
+def test_dictionary_pages(spark, tmp_path):
+    path = str(tmp_path / "d.parquet")
+    pq.write_table(pa.table({"s": ["a", "b", "a", "c"], "i": [1, 2, 1, 3]}), path, row_group_size=2, use_dictionary=["s"])
+    got = sorted(tuple(r)[1:] for r in presence.dictionary_values(spark, path, "s").collect())
+    assert got == [(0, True, "a"), (0, True, "b"), (1, True, "a"), (1, True, "c")]
+    assert presence.dictionary_values(spark, path, "i").count() == 0
+    with pytest.raises(LookupError):
+        presence.dictionary_values(spark, path, "nothing")
+
+
+def test_files_that_need_the_row_reader_are_refused(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    sink.write(spark.createDataFrame([("a",), ("ab",)], "s string").coalesce(1), path, "UNCOMPRESSED", 2, dictionary=False)
+    with pytest.raises(UnsafeEncoding):
+        scan(spark, path)
+    spark.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
+    try:
+        assert sorted(r.s for r in scan(spark, path).collect()) == ["a", "ab"]
+    finally:
+        spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
+
+
+def test_stores(spark, sf, tmp_path):
+    """Executors open what has an opener; the driver reads any store that Spark reads."""
+    whole = ranges.HadoopRanges(spark, f"file://{sf}/nation.parquet")
+    with open(f"{sf}/nation.parquet", "rb") as f:
+        assert whole.read(3, 100) == f.read()[3:103]
+    with pytest.raises(EOFError):
+        whole.read(whole.size() - 1, 2)
+    assert ranges.scheme_of("s3a://b/k:1") == "s3a" and ranges.scheme_of("/a:b") == "" and {"s3a", "hdfs"} <= set(ranges.OPENERS)
+    with pytest.raises(ValueError):
+        ranges.open_ranges("odd://x")
+    want = footer.chunks(spark, f"{sf}/nation.parquet").drop("file").collect()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.there.link./in", f"file://{sf}")
+    there = "viewfs://there/in/nation.parquet"
+    assert footer.chunks(spark, there).drop("file").collect() == want and scan(spark, there).count() == 25
+    assert presence.might_contain(spark, there, "n_nationkey", 3).first().might_contain
+
+
 def test_json_and_maps(spark):
     df = spark.createDataFrame([(None, None, None, None), (1, "x", [{"v": None}], {"e": [1]})], "i int, s string, l array<struct<v:array<int>>>, c struct<e:array<int>>")
     assert [r.json for r in shapes.as_json(df).collect()] == ['{"l":[]}', '{"i":1,"s":"x","l":[{"v":[]}],"c":{"e":[1]}}']
@@ -247,8 +340,6 @@ def test_protobuf_round_trip(spark, message):
     descriptor = message.FindMessageTypeByName("t.Top")
     child = {"b": bytearray(b"\0x"), "f": 1.5, "d": -2.0, "i64": -5, "u64": 2**64 - 1, "i32": 7, "u32": 2**32 - 1, "ok": True, "s": "é"}
     rows = [("x", child, "ONE", [child, {**child, "s": None}], ["ONE", "UNKNOWN"], [{"key": 3, "value": child}], 1), (None, None, None, [], [], None, 2)]
-    from decimal import Decimal
-
     fixed = lambda v: {k: fixed(x) for k, x in v.items()} if isinstance(v, dict) else [fixed(x) for x in v] if isinstance(v, list) else v
     whole = lambda c: None if c is None else {**c, "u64": Decimal(c["u64"])}
     data = [(n, whole(c), k, [whole(x) for x in kids], kinds, None if m is None else [{"key": Decimal(e["key"]), "value": whole(e["value"])} for e in m], extra) for n, c, k, kids, kinds, m, extra in rows]
