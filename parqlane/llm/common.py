@@ -2,70 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from parqlane.sources.stores import discard, file_system, hadoop_path, materialise, scratch_path, shared_dir  # noqa: F401
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash seed of every seeded choice unless the caller gives another.
 SEED = 42
 #: Rows that Python holds as objects at once.
 ROWS = 512
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can read.
-
-    That is spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder that
-    goes when Python ends, and a cluster gets a folder below the warehouse.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            folder = tempfile.mkdtemp(prefix="parqlane-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            _own[app] = f"file://{folder}"
-        else:
-            _own[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return _own[app]
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/parqlane/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete what materialise() wrote for df; the frame cannot be read afterwards."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        file_system(df.sparkSession, path)[0].delete(hadoop_path(df.sparkSession, path), True)
-
-
-def hadoop_path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def file_system(spark: SparkSession, path: str):
-    p = hadoop_path(spark, path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

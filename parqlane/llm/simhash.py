@@ -1,142 +1,256 @@
-"""SimHash near-duplicates by a segment-popcount embedding and an exact grid range-join.
-
-A 64-bit fingerprint is embedded as the bit counts of its segments. The Manhattan distance of two
-embeddings is a lower bound of the Hamming distance of the fingerprints, so fingerprints within r
-bits are within r of each other in the embedding. The coordinates are dealt into g groups; a
-distance of r leaves at least g - r groups without any difference, so such a pair has one cell in
-common in at least one of the grids that take g - r of the groups. In a cell, the range condition
-on the total bit count (again a Manhattan bound, in one coordinate) selects what is compared bit by
-bit. Every link within r bits is therefore found; nothing is capped.
-
-Equal fingerprints are one point. A cell of more than ``CHUNK`` points is dealt into chunks whose
-pairs are separate groups, so no task holds more than two chunks of a cell. A cell's points are
-walked breadth first: a point that is reached leaves the rest, so a cell of n points gives fewer
-than n links and a dense cell costs few passes; links between points of one component that the walk
-doesn't give aren't needed for the components.
+"""SimHash near-duplicates by a segment-popcount embedding and a grid range-join.
+
+A fingerprint is cut into segments of two bits and embedded as their bit counts, 32 coordinates of
+0, 1 or 2 a lane of 64 bits. The Manhattan distance of two embeddings is a lower bound of the Hamming
+distance of the fingerprints. The embedding is kept as unary digits (a segment's bits, sorted), so
+that this distance is a bit count of one exclusive or.
+
+The join lays grids over subspaces of the embedding: points whose counts agree in a grid's
+coordinates share a cell. In a cell, pairs beyond the radius in Manhattan distance are ruled out, and
+those left are compared bit by bit.
+
+* ``cover`` lays grids that meet every pair within the radius: the coordinates are dealt into g
+  groups, a distance of r leaves at least g - r groups without any difference, and each choice of
+  g - r groups is a grid.
+* ``sampled`` lays grids over random coordinates, for radii too wide to be covered: so many that a
+  pair just at the radius's expected distance is met with a given probability.
+
+Equal fingerprints are one point. Cells of up to ``CHUNK`` points are compared as a whole. In a larger
+cell the best of 16 candidates becomes its leader; points within the radius of the leader are linked
+to it, so only points out of its reach (in chunks) are compared with the cell's points (in chunks);
+no task holds more than two chunks of a cell. Links between points that are connected already may be
+left out, all others are found; nothing is capped.
 
 Defined cases: a null or empty text, or one without words, has fingerprint 0 and is linked like any
 other; fewer words than a shingle give one shingle; repeated rows and equal texts have equal
 fingerprints and so one component; null ids are kept, and the least id that isn't null names a
-component; an empty table gives an empty table; columns named like an output are replaced.
+component; an empty table gives an empty table; columns named like an output are replaced, other
+columns may have any name.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations, repeat
+from operator import add
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parqlane.llm.common import SEED, map_columns, materialise
+from parqlane.llm.common import SEED, discard, map_columns, materialise
 from parqlane.llm.components import connected_components
 
-WORDS, RADIUS, SEGMENT_BITS, CHUNK = 4, 4, 2, 4096
+WORDS, RADIUS, CHUNK = 4, 4, 4096
+#: Bits of a segment, and segments of a lane.
+SEGMENT_BITS, SEGMENTS = 2, 32
+#: Heavy cells (some 700 bytes each, with their candidates) up to which their table is broadcast.
+BROADCAST_CELLS = 10_000
+#: Candidates for a heavy cell's leader.
+CANDIDATES = 16
 #: Fixed: shingles hashed at once.
 _BLOCK = 1 << 15
 #: Costs in the same unit, measured: a point in a cell, and a comparison.
-_POINT_COST, _PAIR_COST = 10.0, 0.003
+_POINT_COST, _PAIR_COST = 5.0, 0.005
+#: Fixed: the low bits of all segments; odd factors and shifts that mix a hash (any good ones would do).
+_LOW = int("01" * SEGMENTS, 2)
+_MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, lanes: int = 1) -> list[int]:
-    """The fingerprint as signed 64-bit numbers, one a lane; lane k hashes with seed + k."""
-    found = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
+def shingles(text: str | None, words: int) -> list[bytes]:
+    """All shingles in order, repeats included; A-Z lower-cased, words split at ASCII white space."""
+    found = (text or "").encode().lower().split()
     if not found:
-        return [0] * lanes
+        return []
     joined = b" ".join(found)
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
     if len(found) <= words:
-        starts, ends = [0], [len(joined)]
-    else:
-        starts = np.concatenate(([0], ends[:-words] + 1)).tolist()
-        ends = ends[words - 1 :].tolist()
-    ones, n, digest = np.zeros((lanes, 64), np.int64), len(starts), xxhash.xxh64_intdigest
-    for k in range(0, n, _BLOCK):
-        shingles = [joined[s:e] for s, e in zip(starts[k : k + _BLOCK], ends[k : k + _BLOCK])]
-        for lane in range(lanes):
-            hashes = np.array(list(map(digest, shingles, repeat(seed + lane))), "<u8")
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[lane] += bits.sum(0, dtype=np.int64)
-    return np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
-
-
-def fingerprints(docs: DataFrame, text_col="text", keep=None, words=WORDS, seed=SEED, names=("fingerprint",)) -> DataFrame:
-    """docs' ``keep`` columns (default: all) and the lanes of the text's fingerprint, longs."""
+        return [joined]
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = np.concatenate(([0], ends[:-words] + 1)).tolist()
+    return [joined[s:e] for s, e in zip(starts, ends[words - 1 :].tolist())]
 
-    def make():
-        def work(texts):
-            made = [fingerprint(t, words, seed, len(names)) for t in texts]
-            return [list(lane) for lane in zip(*made)] if made else [[] for _ in names]
 
-        return work
+def hashes_of(made: list[bytes], seed: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, made, repeat(seed)), np.uint64, len(made))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit number."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), _BLOCK):
+        part = np.ascontiguousarray(hashes[k : k + _BLOCK], "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The fingerprint of the text's shingles, repeats included, as a signed 64-bit number."""
+    return majority(hashes_of(shingles(text, words), seed))
+
+
+def fingerprints(docs: DataFrame, text_col="text", keep=None, words=WORDS, seed=SEED, name="fingerprint") -> DataFrame:
+    """docs' ``keep`` columns (default: all) and the text's fingerprint, a long."""
+    return map_columns(docs, [text_col], lambda: lambda texts: [[fingerprint(t, words, seed) for t in texts]], [(name, "long")], keep)
 
-    return map_columns(docs, [text_col], make, [(n, "long") for n in names], keep)
 
+# The embedding
 
-def segment_masks(segment_bits: int) -> list[int]:
-    """Bit masks of the segments, from the lowest bit."""
-    return [((1 << min(segment_bits, 64 - s)) - 1) << s for s in range(0, 64, segment_bits)]
 
+def embedded(points: np.ndarray) -> np.ndarray:
+    """Unary digits of the bit counts of all segments of each lane."""
+    low, high = np.uint64(_LOW), points >> np.uint64(1)
+    return (((points & high) & low) << np.uint64(1)) | ((points | high) & low)
 
-def grids(radius: int, agree: int, segment_bits: int) -> list[int]:
-    """Masks of the bits whose segments' counts make up the cell of each grid."""
-    masks, groups = segment_masks(segment_bits), radius + agree
-    dealt = [sum(masks[k * len(masks) // groups : (k + 1) * len(masks) // groups]) for k in range(groups)]
-    return [sum(chosen) for chosen in combinations(dealt, agree)]
 
+def embedded_column(lane):
+    low, high = F.lit(_LOW), F.shiftrightunsigned(lane, 1)
+    return F.shiftleft(lane.bitwiseAND(high).bitwiseAND(low), 1).bitwiseOR(lane.bitwiseOR(high).bitwiseAND(low))
 
-def choose_agree(points: int, radius: int, segment_bits: int) -> int:
-    """Groups that must agree: the cheapest for so many points. Any choice finds every link."""
-    equal = sum(math.comb(segment_bits, k) ** 2 for k in range(segment_bits + 1)) / 4**segment_bits
+
+def _mask(segments) -> int:
+    """The bits of segments, numbered from the lowest, as a signed 64-bit number."""
+    bits = sum(3 << SEGMENT_BITS * s for s in segments)
+    return bits - (1 << 64) if bits >= 1 << 63 else bits
+
+
+#: Chance that two random bits pairs have equal counts.
+_EQUAL = sum(math.comb(SEGMENT_BITS, k) ** 2 for k in range(SEGMENT_BITS + 1)) / 4**SEGMENT_BITS
+
+
+def cover(points: int, radius: int, agree: int | None = None) -> list[tuple[int, ...]]:
+    """Grids, each the mask of one lane, one of which meets any pair within the radius.
+
+    How many groups of coordinates must agree (``agree``) is chosen by the number of points, by cost
+    alone: any choice meets every pair.
+    """
+    best = []
+    for k in range(1, 5):
+        if radius + k <= SEGMENTS:
+            inside = points * _EQUAL ** (SEGMENTS * k / (radius + k))
+            best.append((math.comb(radius + k, k) * (_POINT_COST + inside / 2 * _PAIR_COST), k))
+    agree = agree or min(best)[1]
+    n = radius + agree
+    dealt = [range(k * SEGMENTS // n, (k + 1) * SEGMENTS // n) for k in range(n)]
+    return [(_mask(s for group in chosen for s in group),) for chosen in combinations(dealt, agree)]
+
+
+def _grids_for(size: int, segments: int, same: float, recall: float) -> int:
+    """Grids of so many random segments that meet, with probability ``recall``, a pair each of whose
+    segments has equal counts with chance ``same`` (no flip, or both of two unlike bits)."""
+    equal = np.arange(size, segments + 1)  # segments of the pair with equal counts
+    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    chance = np.exp([log(segments, j) + j * math.log(same) + (segments - j) * math.log(1 - same) for j in equal.tolist()])
+    missed = -np.expm1([log(j, size) - log(segments, size) for j in equal.tolist()])  # by one grid
+    low, high = 0, 1
+    while chance @ (1 - missed**high) < recall:
+        low, high = high, 2 * high
+        if high > 1 << 20:
+            return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if chance @ (1 - missed**mid) >= recall else (mid, high)
+    return high
+
+
+def sampled(points: int, lanes: int, flip: float, recall: float, seed: int = SEED) -> list[tuple[int, ...]]:
+    """Grids, each one mask a lane, that meet a pair whose bits differ with chance ``flip`` with
+    probability ``recall`` or more; how many coordinates a grid has is chosen by cost alone."""
     best = []
-    for agree in range(1, 5):
-        if radius + agree <= 64 // segment_bits:
-            inside = points * equal ** (64 / segment_bits * agree / (radius + agree))
-            best.append((math.comb(radius + agree, agree) * (_POINT_COST + inside / 2 * _PAIR_COST), agree))
-    return min(best)[1]
-
-
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
-
-
-def _packed_counts(column, segment_bits: int):
-    """Bit counts of all segments, packed in the segments' places (1- and 2-bit segments only)."""
-    if segment_bits == 1:
-        return column
-    low, high = F.lit(int("01" * 32, 2)), F.shiftrightunsigned(column, 1)
-    one = column.bitwiseXOR(high).bitwiseAND(low)
-    two = column.bitwiseAND(high).bitwiseAND(low)
-    return F.shiftleft(two, 1).bitwiseOR(one)
-
-
-def walk(points: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Links (positions) of a spanning forest of the rows of lanes within radius bits of each other."""
-    total = np.bitwise_count(points).sum(1, dtype=np.int64)
-    name = np.argsort(total, kind="stable")
-    total, lanes = total[name], [np.ascontiguousarray(lane) for lane in points[name].T]
-    left, right = [], []
-    while len(name) > 1:
-        todo = [(*(lane[-1] for lane in lanes), total[-1], name[-1])]
-        total, name, lanes = total[:-1], name[:-1], [lane[:-1] for lane in lanes]
-        while todo and len(name):
-            *point, count, own = todo.pop()
-            lo, hi = np.searchsorted(total, (count - radius, count + radius + 1))
-            apart = np.bitwise_count(lanes[0][lo:hi] ^ point[0])
-            for lane, bits in zip(lanes[1:], point[1:]):
-                apart = np.add(apart, np.bitwise_count(lane[lo:hi] ^ bits), dtype=np.uint16)
-            at = np.flatnonzero(apart <= radius)
-            if len(at):
-                at += lo
-                todo += zip(*(lane[at] for lane in lanes), total[at], name[at])
-                left += [own] * len(at)
-                right += name[at].tolist()
-                stays = np.ones(len(name), bool)
-                stays[at] = False
-                total, name, lanes = total[stays], name[stays], [lane[stays] for lane in lanes]
-    return left, right
+    for size in range(1, 25):
+        count = _grids_for(size, lanes * SEGMENTS, (1 - flip) ** 2 + flip**2 / 2, recall)
+        best.append((count * (_POINT_COST + points * _EQUAL**size / 2 * _PAIR_COST), size, count))
+    _, size, count = min(best)
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(count):
+        chosen = rng.choice(lanes * SEGMENTS, size, replace=False)
+        out.append(tuple(_mask((chosen[chosen // SEGMENTS == lane] % SEGMENTS).tolist()) for lane in range(lanes)))
+    return out
+
+
+# Comparing the points of a cell
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of lanes."""
+    return reduce(np.add, (np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.uint16) for k in range(a.shape[-1])))
+
+
+def near_pairs(points: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int):
+    """Of pairs of positions those within the radius: first by Manhattan distance, then by bits."""
+    may = _apart(counts[left], counts[right]) <= radius
+    left, right = left[may], right[may]
+    near = _apart(points[left], points[right]) <= radius
+    return left[near], right[near]
+
+
+def walk(points: np.ndarray, counts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) of a spanning forest of the rows of lanes within the radius, breadth first.
+
+    A point that is reached leaves the rest, so n points give fewer than n links and a dense cell
+    costs few passes.
+    """
+    rest, left, right = np.arange(len(points)), [], []
+    while len(rest) > 1:
+        todo, rest = [rest[-1]], rest[:-1]
+        while todo and len(rest):
+            one = todo.pop()
+            _, found = near_pairs(points, counts, np.full(len(rest), one), rest, radius)
+            if len(found):
+                left.append(np.full(len(found), one))
+                right.append(found)
+                todo += found.tolist()
+                rest = np.setdiff1d(rest, found, assume_unique=True)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+#: Pairs compared at once, and links a point from which a cell is walked instead.
+_PAIRS, _DENSE = 1 << 18, 8
+
+
+def cell_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) of the rows of lanes within the radius: all, or in a dense cell a forest."""
+    counts, n, left, right, found = embedded(points), len(points), [], [], 0
+    step = max(1, _PAIRS // n)
+    for lo in range(0, n, step):
+        hi = min(n, lo + step)
+        bound = reduce(np.add, (np.bitwise_count(c[lo:hi, None] ^ c[None, lo:]).astype(np.uint16) for c in counts.T))
+        i, j = np.nonzero(bound <= radius)
+        i, j = i[i < j] + lo, j[i < j] + lo
+        near = _apart(points[i], points[j]) <= radius
+        left.append(i[near])
+        right.append(j[near])
+        found += len(left[-1])
+        if found > _DENSE * n:
+            return walk(points, counts, radius)
+    return np.concatenate(left), np.concatenate(right)
+
+
+#: Cells of up to so many points are compared together with others.
+_SMALL = 64
+
+
+def links_of_rows(cells: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) within the cells of rows that come by cell."""
+    start = np.concatenate(([0], np.flatnonzero(np.diff(cells)) + 1)) if len(cells) else np.empty(0, np.int64)
+    size = np.diff(np.append(start, len(cells)))
+    left, right, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], embedded(points)
+    after = np.repeat(start + size, size) - np.arange(len(cells)) - 1  # rows of the cell that follow a row
+    at = np.flatnonzero((after > 0) & (np.repeat(size, size) <= _SMALL))
+    for k in range(1, _SMALL):
+        at = at[after[at] >= k]
+        if not len(at):
+            break
+        i, j = near_pairs(points, counts, at, at + k, radius)
+        left.append(i)
+        right.append(j)
+    for s, n in zip(start[size > _SMALL], size[size > _SMALL]):
+        i, j = cell_links(points[s : s + n], radius)
+        left.append(i + s)
+        right.append(j + s)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _links_of_cells(radius: int, lanes: int):
@@ -149,22 +263,15 @@ def _links_of_cells(radius: int, lanes: int):
         held = np.empty((0, width), np.int64)
 
         def links(rows):
-            found = []
-            edges = np.flatnonzero(np.diff(rows[:, 0])) + 1
-            for group in np.split(rows, edges):
-                if len(group) > 1:
-                    points = np.ascontiguousarray(group[:, -lanes:]).view(np.uint64)
-                    left, right = walk(points, radius)
-                    if left:
-                        found.append(np.stack((group[left, 1], group[right, 1])))
-            a, b = np.concatenate(found, axis=1) if found else (np.empty(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            points = np.ascontiguousarray(rows[:, -lanes:]).view(np.uint64)
+            a, b = links_of_rows(rows[:, 0], points, radius)
+            return pa.RecordBatch.from_arrays([pa.array(rows[a, 1]), pa.array(rows[b, 1])], names=["a", "b"])
 
         for batch in batches:
             new = np.stack([batch.column(i).to_numpy() for i in range(width)], axis=1)
             held = np.concatenate((held, new)) if len(held) else new
             if len(held):
-                start = np.searchsorted(held[:, 0], held[-1, 0])  # the last group may go on
+                start = np.searchsorted(held[:, 0], held[-1, 0])  # the last cell may go on
                 done, held = held[:start], held[start:]
                 yield links(done)
         yield links(held)
@@ -172,94 +279,130 @@ def _links_of_cells(radius: int, lanes: int):
     return run
 
 
-def links(
-    points: DataFrame, lanes=("p",), node="p", radius=RADIUS, segment_bits=SEGMENT_BITS, chunk=CHUNK, agree=None
-) -> DataFrame:
-    """a, b: links of nodes whose lanes differ in ``radius`` bits or fewer, enough for the components.
-
-    Of several lanes one differs in its share of the radius at most, so each lane has its own grids.
-    """
+def links(points: DataFrame, lanes, node: str, radius: int, grids, chunk: int = CHUNK) -> DataFrame:
+    """a, b: links of nodes whose lanes differ in ``radius`` bits or fewer and that a grid brings together."""
     points = points.select(*dict.fromkeys((node, *lanes))).distinct()
-    share = radius // len(lanes)
-    agree = agree or choose_agree(points.count(), share, segment_bits)
-    masks = grids(share, agree, segment_bits)
-    keys = [
-        F.xxhash64(F.lit(i * len(masks) + k), _packed_counts(F.col(lane), segment_bits).bitwiseAND(F.lit(_signed(mask))))
-        for i, lane in enumerate(lanes)
-        for k, mask in enumerate(masks)
-    ]
-    cells = points.select(F.explode(F.array(*keys)).alias("cell"), *points.columns)
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    own = F.pmod(F.xxhash64(node), F.col("chunks")).cast("int")
-    groups = (
-        cells.join(sizes, "cell")
-        .withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *points.columns)
+    given = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(m).alias(f"m{i}") for i, m in enumerate(g))) for k, g in enumerate(grids)))
+    at = lambda g: F.xxhash64(g["k"], *(embedded_column(F.col(lane)).bitwiseAND(g[f"m{i}"]) for i, lane in enumerate(lanes)))
+    cells = points.select(F.explode(F.transform(given, at)).alias("cell"), *points.columns)
+    heavy = materialise(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "cells")
+    many = heavy.count()
+    if many:
+        there = F.broadcast(heavy) if many <= BROADCAST_CELLS else heavy
+        found, more = _heavy(cells.join(there, "cell"), lanes, node, radius, chunk, many)
+        cells = cells.join(there, "cell", "left_anti").unionByName(more)
+    rows = cells.repartition(F.col("cell")).sortWithinPartitions("cell")
+    out = rows.mapInArrow(_links_of_cells(radius, len(lanes)), "a long, b long")
+    return out.unionByName(found) if many else out
+
+
+def _heavy(members: DataFrame, lanes, node: str, radius: int, chunk: int, many: int):
+    """Links to the leaders of heavy cells, and smaller cells of what has still to be compared."""
+
+    def near(other):
+        return reduce(add, (F.bit_count(F.col(lane).bitwiseXOR(other[lane])) for lane in lanes)) <= radius
+
+    fields = list(dict.fromkeys((node, *lanes)))
+    small = F.broadcast if many <= BROADCAST_CELLS else lambda df: df
+    one = F.struct(F.xxhash64(F.lit(SEED), node).alias("order"), *fields)
+    some = members.groupBy("cell", F.pmod(F.xxhash64(node), F.lit(CANDIDATES)).alias("s")).agg(F.min(one).alias("x"))
+    some = materialise(some.groupBy("cell").agg(F.collect_list("x").alias("xs")), "leaders")  # 16 a cell
+    hits = members.join(small(some), "cell").select("cell", *(near(F.get("xs", F.lit(k))).cast("long").alias(f"c{k}") for k in range(CANDIDATES)))
+    hits = hits.groupBy("cell").agg(F.array(*(F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(CANDIDATES))).alias("hits"))
+    best = F.get("xs", F.array_position("hits", F.array_max("hits")).cast("int") - 1)
+    leaders = some.join(hits, "cell").select("cell", best.alias("leader"))
+    marked = members.join(small(leaders), "cell").withColumn("near", near(F.col("leader")))
+    marked = materialise(marked.select("cell", "n", *fields, F.col(f"leader.{node}").alias("to"), "near"), "heavy")
+    found = marked.where(F.col("near") & (F.col("to") != F.col(node))).select(F.col("to").alias("a"), F.col(node).alias("b"))
+    left = marked.groupBy("cell").agg(F.sum((~F.col("near")).cast("long")).alias("rest")).where("rest > 0")
+    dealt = marked.join(small(left), "cell").select(
+        "cell", "near", *fields, F.ceil(F.col("n") / chunk).alias("blocks"), F.ceil(F.col("rest") / chunk).alias("chunks")
     )
-    spread = groups.repartition(F.col("cell")).sortWithinPartitions("cell")
-    return spread.mapInArrow(_links_of_cells(radius, len(lanes)), "a long, b long")
+    blocks, chunks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    own_block, own_chunk = F.pmod(F.xxhash64(node), F.col("blocks")), F.pmod(F.xxhash64(F.lit(1), node), F.col("chunks"))
+    every = dealt.withColumn("other", F.explode(chunks)).select(F.xxhash64("cell", "other", own_block).alias("cell"), *fields)
+    rest = dealt.where(~F.col("near")).withColumn("other", F.explode(blocks))
+    return found, every.unionByName(rest.select(F.xxhash64("cell", own_chunk, "other").alias("cell"), *fields))
+
 
+def _named(points: DataFrame, found: DataFrame, value: str) -> DataFrame:
+    """p and the least ``value`` of its component, for every node in points.p, given the links.
 
-def _grouped(marked: DataFrame, found: DataFrame) -> DataFrame:
-    """p, least, root for every node in marked.p, given its links; root names its component."""
+    What is joined is written first: the joins then stand on shuffles alone, whose large partitions
+    (a component, or a point with many rows) Spark can split.
+    """
     roots = connected_components(found, "a", "b")
-    points = marked.groupBy("p").agg(F.min("id").alias("least"))
-    return points.join(roots, F.col("p") == F.col("node"), "left").select("p", "least", F.coalesce("root", "p").alias("root"))
+    linked = materialise(points.join(roots, F.col("p") == F.col("node")).select(F.col("p").alias("q"), "root", value), "linked")
+    least = materialise(linked.groupBy(F.col("root").alias("r")).agg(F.min(value).alias("least")), "least")
+    named = linked.join(least, F.col("root") == F.col("r")).select("q", "least")
+    out = points.join(named, F.col("p") == F.col("q"), "left").select("p", F.coalesce("least", value).alias(value))
+    out = materialise(out, "components")
+    for done in (linked, least):
+        discard(done)
+    return out
 
 
 def near_duplicates(
-    docs: DataFrame, id_col="doc_id", text_col="text", keep=None, words=WORDS, radius=RADIUS, seed=SEED,
-    segment_bits=SEGMENT_BITS, chunk=CHUNK, agree=None,
-) -> DataFrame:
+    docs: DataFrame, id_col="doc_id", text_col="text", keep=None, words=WORDS, radius=RADIUS, seed=SEED, chunk=CHUNK, agree=None
+) -> DataFrame:
     """docs' ``keep`` columns (default: the id), fingerprint (long) and component_id.
 
     component_id: the least id reachable over links of at most ``radius`` bits, itself included.
     """
     keep = [c for c in (keep or [id_col]) if c not in ("fingerprint", "component_id")]
     marked = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked = materialise(
-        fingerprints(marked, "text", [*(f"k{i}" for i in range(len(keep))), "id"], words, seed, ["p"]), "fingerprints"
-    )
-    named = _grouped(marked, links(marked, ("p",), "p", radius, segment_bits, chunk, agree))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_points = named.select("p", "root").join(names, "root").select(F.col("p").alias("q"), "component_id")
-    out = marked.join(of_points, F.col("p") == F.col("q"))
-    return out.select(
+    marked = materialise(fingerprints(marked, "text", [*(f"k{i}" for i in range(len(keep))), "id"], words, seed, "p"), "fingerprints")
+    points = materialise(marked.groupBy("p").agg(F.min("id").alias("component_id")), "points")
+    found = links(points, ("p",), "p", radius, cover(points.count(), radius, agree), chunk)
+    named = _named(points, found, "component_id").withColumnRenamed("p", "q")
+    return marked.join(named, F.col("p") == F.col("q")).select(
         *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("p").alias("fingerprint"), "component_id"
     )
 
 
-def bits_of(similarity: float, bits: int) -> int:
-    """Most differing bits of so many at which shingles count as so similar (Jaccard).
+# One document of each group, by the similarity of sets of shingles
+
+
+LANES, KEPT_WORDS, SIMILARITY, RECALL = 4, 5, 0.8, 0.95
+#: Rows (16 bytes each) up to which the keys of candidates are broadcast.
+BROADCAST_KEYS = 500_000
+#: Shingles (and 64 a document) that a chunk of a group of candidates holds.
+CHUNK_SHINGLES = 1 << 20
+
+
+def flip_chance(similarity: float) -> float:
+    """Chance that a bit differs between two sets of equal size with this Jaccard similarity.
 
-    Each bit differs with chance angle / pi, where cos(angle) is the cosine of the shingle counts, and
-    sets of equal size with Jaccard similarity s have the cosine 2s / (1 + s). One standard deviation
-    is added, so that five of six pairs that are just so similar are found, and nearly all above.
+    It is angle / pi, where cos(angle) = 2s / (1 + s); sets of unequal size have a greater cosine.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
 def candidate_bits(similarity: float, bits: int) -> int:
     """Differing bits that a pair of sets with this Jaccard similarity or more practically never passes.
 
-    Sets of unequal size have a greater cosine, so equal sizes are the worst case; 4.5 standard
-    deviations leave out some 2 of 100,000 pairs that are just so similar, and fewer above.
+    4.5 standard deviations leave out some 2 of 100,000 pairs that are just so similar, and fewer above.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    p = flip_chance(similarity)
     return int(bits * p + 4.5 * math.sqrt(bits * p * (1 - p)))
 
 
-def shingle_set(text: str | None, words: int, seed: int = SEED, lanes: int = 1) -> np.ndarray:
-    """Hashes of the text's different shingles, one row a lane, in the order of the first lane."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty((lanes, 0), np.uint64)
-    shingles = {b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))}
-    made = [np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed + k)), np.uint64, len(shingles)) for k in range(lanes)]
-    return np.stack(made)[:, np.argsort(made[0])]
+def shingle_set(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the text's different shingles, in order."""
+    return np.unique(hashes_of(shingles(text, words), seed))
+
+
+def lanes_of(hashes: np.ndarray, lanes: int) -> list[int]:
+    """Fingerprints of a set under as many hash functions; the further ones mix the first one's hash."""
+    x = hashes[None, :] + (np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    for shift, factor in _MIX:
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    ones = np.zeros((lanes, 64), np.int64)
+    for k in range(0, len(hashes), _BLOCK):
+        part = np.ascontiguousarray(x[:, k : k + _BLOCK], "<u8").view(np.uint8).reshape(lanes, -1, 8)
+        ones += np.unpackbits(part, axis=2, bitorder="little").sum(1, dtype=np.int64)
+    return np.packbits((2 * ones > len(hashes)).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
 def _set_prints(words: int, seed: int, lanes: int):
@@ -269,14 +412,9 @@ def _set_prints(words: int, seed: int, lanes: int):
         def work(texts):
             out = [[] for _ in range(2 + lanes)]
             for text in texts:
-                hashes = shingle_set(text, words, seed, lanes)
-                n, ones = hashes.shape[1], np.zeros((lanes, 64), np.int64)
-                for k in range(0, n, _BLOCK):
-                    part = np.ascontiguousarray(hashes[:, k : k + _BLOCK], "<u8").view(np.uint8).reshape(lanes, -1, 8)
-                    ones += np.unpackbits(part, axis=2, bitorder="little").sum(1, dtype=np.int64)
-                prints = np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0]
-                name = int(np.uint64(xxhash.xxh64_intdigest(hashes[0].tobytes(), seed)).view(np.int64))
-                for column, value in zip(out, (name, n, *prints.tolist())):
+                hashes = shingle_set(text, words, seed)
+                name = int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), seed)).view(np.int64))
+                for column, value in zip(out, (name, len(hashes), *lanes_of(hashes, lanes))):
                     column.append(value)
             return out
 
@@ -302,7 +440,7 @@ def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
             if not near:
                 continue
             met, common = np.unique(np.concatenate(near), return_counts=True)
-            good = met[rest[met] & (common / (sizes[met] + sizes[one] - common) >= similarity)].tolist()
+            good = met[rest[met] & (common >= similarity * (sizes[met] + sizes[one] - common))].tolist()
             rest[good] = False
             todo += good
             out += [(one, k) for k in good]
@@ -310,80 +448,109 @@ def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
 
 
 def _similar_of_groups(words: int, seed: int, similarity: float):
-    """Batches of (group, node, text), by group, to links of nodes."""
+    """Batches of (group, leads, node, text), by group, leaders first, to links of nodes.
+
+    In a group with a leader each other node is linked to it or, where it isn't similar, to itself.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        now, nodes, sets = None, [], []
+        now, nodes, sets, led = None, [], [], False
 
         def found():
-            got = similar(sets, similarity) if len(sets) > 1 else []
+            if led:
+                common = [len(np.intersect1d(sets[0], x, assume_unique=True)) for x in sets[1:]]
+                got = [(0 if c >= similarity * (len(sets[0]) + len(x) - c) else k, k) for k, (c, x) in enumerate(zip(common, sets[1:]), 1)]
+            else:
+                got = similar(sets, similarity) if len(sets) > 1 else []
             a, b = [nodes[i] for i, _ in got], [nodes[j] for _, j in got]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for group, node, text in zip(*batch.columns):
+            for group, leads, node, text in zip(*batch.columns):
                 if group.as_py() != now:
                     yield found()
-                    now, nodes, sets = group.as_py(), [], []
+                    now, nodes, sets, led = group.as_py(), [], [], leads.as_py()
                 nodes.append(node.as_py())
-                sets.append(shingle_set(text.as_py(), words, seed)[0])
+                sets.append(shingle_set(text.as_py(), words, seed))
         yield found()
 
     return run
 
 
-LANES, KEPT_WORDS, SIMILARITY, WIDE_CHUNK = 2, 5, 0.8, 16384
-#: Fixed: shingles (and 64 a document) that a chunk of a group of candidates holds.
-_CHUNK_SHINGLES = 1 << 20
+def _verified(row: DataFrame, points: DataFrame, found: DataFrame, words, seed, similarity, chunk_shingles) -> DataFrame:
+    """a, b: the links that exact comparison leaves of the components of the candidates ``found``.
+
+    A component that fits a chunk is compared as a whole. In a larger one every set is compared with
+    a leader, and those that aren't similar to it (in chunks) with all (in chunks).
+    """
+
+    def compared(groups):
+        spread = groups.repartition(F.col("group")).sortWithinPartitions("group", F.col("leads").desc())
+        return spread.mapInArrow(_similar_of_groups(words, seed, similarity), "a long, b long")
+
+    weight, no = F.col("size") + 64, F.lit(False).alias("leads")
+    near = connected_components(found, "a", "b")
+    members = materialise(points.join(near, F.col("p") == F.col("node")).select("p", "root", "size", "first.h", "first.g"), "candidates")
+    total = F.ceil(F.sum(weight) / chunk_shingles).cast("int")
+    sizes = materialise(members.groupBy(F.col("root").alias("r")).agg(total.alias("chunks"), F.min("p").alias("leader")), "sizes")
+    members = members.join(sizes, F.col("root") == F.col("r")).select("p", "root", "size", "chunks", "leader", F.col("h").alias("mh"), F.col("g").alias("mg"))
+    texts, keys = row.select("h", "g", "text"), members.select(F.col("mh").alias("h"), F.col("mg").alias("g"))
+    if members.count() <= BROADCAST_KEYS:
+        texts = texts.join(F.broadcast(keys), ["h", "g"], "left_semi")
+    texts = texts.groupBy("h", "g").agg(F.first("text").alias("text"))  # repeated rows meet before they move
+    held = texts.join(members, (F.col("h") == F.col("mh")) & (F.col("g") == F.col("mg"))).drop("h", "g", "mh", "mg")
+    large = sizes.where("chunks > 1")
+    if large.isEmpty():
+        return compared(held.select(F.col("root").alias("group"), no, "p", "text"))
+    held = materialise(held, "texts")
+    out = compared(held.where("chunks = 1").select(F.col("root").alias("group"), no, "p", "text"))
+    wide = held.where("chunks > 1")
+    own = F.pmod(F.xxhash64("p"), F.col("chunks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    led = wide.where("p != leader").select(F.xxhash64("root", own).alias("group"), no, "p", "text")
+    leaders = wide.where("p = leader").withColumn("other", F.explode(every))
+    led = led.unionByName(leaders.select(F.xxhash64("root", "other").alias("group"), F.lit(True).alias("leads"), "p", "text"))
+    met = materialise(compared(led), "led")
+    rest = wide.join(met.where("a = b").select(F.col("a").alias("q")), F.col("p") == F.col("q"), "left_semi")
+    parts = materialise(rest.groupBy(F.col("root").alias("r")).agg(total.alias("parts")), "parts")
+    dealt = wide.join(parts, F.col("root") == F.col("r"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.xxhash64("root", "other", own).alias("group"), no, "p", "text")
+    own_part = F.pmod(F.xxhash64(F.lit(1), "p"), F.col("parts")).cast("int")
+    rest = rest.join(parts, F.col("root") == F.col("r")).withColumn("other", F.explode(every))
+    dealt = dealt.unionByName(rest.select(F.xxhash64("root", own_part, "other").alias("group"), no, "p", "text"))
+    return out.unionByName(met.where("a != b")).unionByName(compared(dealt))
 
 
 def keep_one(
-    docs: DataFrame, id_col="doc_id", text_col="text", words=KEPT_WORDS, similarity=SIMILARITY, lanes=LANES, seed=SEED, segment_bits=1,
-    chunk=WIDE_CHUNK, agree=None,
+    docs: DataFrame, id_col="doc_id", text_col="text", words=KEPT_WORDS, similarity=SIMILARITY, lanes=LANES, recall=RECALL, seed=SEED,
+    chunk=CHUNK, chunk_shingles=CHUNK_SHINGLES,
 ) -> DataFrame:
     """One row of docs of each component: that with the least id (nulls last), then the least row hash.
 
-    Links join texts whose sets of shingles have the Jaccard similarity or more, exactly. Fingerprints
-    of the sets only find candidates, within ``candidate_bits``: each component of candidates is
-    compared as a whole, in chunks where it is large.
+    Links join texts whose sets of shingles have the Jaccard similarity or more, exactly: fingerprints
+    of the sets only find candidates, within ``candidate_bits`` and with probability ``recall`` or more
+    for a pair that is just so similar. Rows that agree in everything are one row.
     """
-    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]  # maps have no order, and so no hash
-    row = docs.withColumn("__row", F.xxhash64(*(F.col(f"`{c}`") for c in hashed)))
-    marked = row.select(F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("h"), F.col(f"`{text_col}`").alias("text"))
-    names = [f"lane{k}" for k in range(lanes)]
-    fields = [(n, "long") for n in ("p", "size", *names)]
-    marked = materialise(map_columns(marked, ["text"], _set_prints(words, seed, lanes), fields, ["id", "h"]), "fingerprints")
-    found = links(marked, names, "p", candidate_bits(similarity, 64 * lanes), segment_bits, chunk, agree)
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
-    found = _verified(row, id_col, text_col, marked, order, found, words, seed, similarity)
-    named = _grouped(marked, found).select(F.col("p").alias("q"), "root")
-    first = marked.join(named, F.col("p") == F.col("q")).groupBy("root").agg(F.min(order).alias("first"))
-    first = first.select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
-    kept = row.join(first, (F.col("__row") == F.col("__h")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["__row", id_col]).drop("__row")
-
-
-def _verified(row, id_col, text_col, marked, order, found, words, seed, similarity) -> DataFrame:
-    """a, b: the links that exact comparison leaves of the components of the candidates ``found``."""
-    near = connected_components(found, "a", "b")
-    points = marked.groupBy("p").agg(F.min(order).alias("first"), F.first("size").alias("size"))
-    points = points.join(near, F.col("p") == F.col("node")).select("p", "root", "size", "first.id", "first.h")
-    points = materialise(points, "candidates")
-    chunks = points.groupBy(F.col("root").alias("r")).agg(F.ceil(F.sum(F.col("size") + 64) / _CHUNK_SHINGLES).cast("int").alias("chunks"))
-    points = points.join(chunks, F.col("root") == F.col("r"))
-    texts = row.select(F.col(f"`{id_col}`").alias("__id"), F.col("__row"), F.col(f"`{text_col}`").alias("__text"))
-    held = texts.join(points, (F.col("__row") == F.col("h")) & F.col("__id").eqNullSafe(F.col("id")))
-    held = held.dropDuplicates(["p"])
-    own = F.pmod(F.xxhash64("p"), F.col("chunks")).cast("int")
-    groups = (
-        held.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "p", "__text")
-    )
-    spread = groups.repartition(F.col("group")).sortWithinPartitions("group")
-    return spread.mapInArrow(_similar_of_groups(words, seed, similarity), "a long, b long")
+    names = docs.columns
+    row = docs.toDF(*(f"k{i}" for i in range(len(names))))
+    hashed = [c for c, kind in row.dtypes if "map<" not in kind]  # maps have no order, and so no hash
+    own_id, own_text = f"k{names.index(id_col)}", f"k{names.index(text_col)}"
+    row = row.withColumns({"h": F.xxhash64(F.lit(seed), *hashed), "g": F.xxhash64(F.lit(seed + 1), *hashed), "text": F.col(own_text)})
+    marked = row.select(F.col(own_id).alias("id"), "h", "g", "text")
+    prints = [f"lane{k}" for k in range(lanes)]
+    fields = [(n, "long") for n in ("p", "size", *prints)]
+    marked = materialise(map_columns(marked, ["text"], _set_prints(words, seed, lanes), fields, ["id", "h", "g"]), "fingerprints")
+    order = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "g")).alias("first")
+    points = materialise(marked.groupBy("p").agg(order, *(F.first(c).alias(c) for c in ("size", *prints))), "points")
+    grids = sampled(points.count(), lanes, flip_chance(similarity), recall, seed)
+    found = links(points, prints, "p", candidate_bits(similarity, 64 * lanes), grids, chunk)
+    found = _verified(row, points, found, words, seed, similarity, chunk_shingles)
+    firsts = _named(points.select("p", "first"), found, "first").select(F.col("first.h").alias("fh"), F.col("first.g").alias("fg")).distinct()
+    rows = row.drop("text").groupBy("h", "g").agg(*(F.first(f"k{i}").alias(f"k{i}") for i in range(len(names))))
+    kept = rows.join(firsts, (F.col("h") == F.col("fh")) & (F.col("g") == F.col("fg")), "left_semi")
+    return kept.select(*(f"k{i}" for i in range(len(names)))).toDF(*names)
 
 
 def hex_fingerprint(column):

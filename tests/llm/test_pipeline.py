@@ -6,7 +6,7 @@ import pytest
 import tiktoken
 from test_line_dedup import plain_dedup
 from test_mixing import plain_targets, words
-from test_simhash import plain_components, plain_fingerprint
+from test_simhash import joined
 
 import corpus_pipeline
 from parqlane.llm import gam, mixing, simhash
@@ -53,10 +53,19 @@ def test_line_stage(stages):
 
 
 def test_near_stage(stages):
-    rows = sorted((r.doc_id, r.text) for r in stages[2].collect())
-    prints = [plain_fingerprint(t, 5) | plain_fingerprint(t, 5, 43) << 64 for _, t in rows]
-    roots = plain_components(prints, simhash.bits_of(0.8, 128))
-    assert sorted(rows[i][0] for i in set(roots)) == sorted(r.doc_id for r in stages[3].collect())
+    """One document of each group by the exact similarity of five-word sets."""
+    rows = sorted((r.doc_id, r.text or "") for r in stages[2].collect())
+    held = [plain_set(t) for _, t in rows]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(held[i] & held[j]) >= 4 * len(held[i] | held[j])]
+    roots = joined(len(rows), alike)
+    kept = {r.doc_id for r in stages[3].collect()}
+    assert kept <= {rows[i][0] for i in range(len(rows))} and kept >= {rows[i][0] for i in set(roots)}
+    assert len(kept) - len(set(roots)) <= 0.05 * (len(rows) - len(set(roots)))
+
+
+def plain_set(text):
+    w = text.encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
 def test_mixing_stage(stages):
