@@ -10,8 +10,17 @@ the two tokens' bytes give these two tokens. So
   what stands before it), so the count at each prefix is one more than at an earlier prefix.
 
 A text is cut where one plain space stands between two characters that aren't white space; no match
-of the pattern reaches over such a place. The pieces repeat, so their results are memoised, within
-a bound; a piece that isn't in the memo is computed, so the bound changes nothing but time.
+of the byte-level pattern reaches over such a place. The pieces repeat, so their results are memoised,
+within a bound; a piece that isn't in the memo is computed, so the bound changes nothing but time.
+With another pattern, or with a special string that holds white space, texts aren't cut.
+
+Counts at every prefix are stored as steps, the difference that each character makes: one signed byte
+a character (four where one doesn't do), after a byte that tells how many. ``counts_of`` gives the
+counts again, and ``counts_at`` and ``fitting`` answer questions about cuts and budgets from the
+column, without the text and without encoding anything.
+
+Both operators go row by row, without shuffle. Defined cases: null text counts as empty; repeated rows
+repeat; an empty table gives an empty table; columns of docs named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -21,9 +30,12 @@ import functools
 import hashlib
 import json
 import re
-from itertools import chain
+from array import array
+from itertools import accumulate, chain, pairwise
+from operator import sub
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -33,6 +45,9 @@ MEMO_ENTRIES = 300_000
 MEMO_PAIRS = 2_000_000
 MEMO_CHARS = 200
 LIMIT = 512
+MEMO_MATCHES = 100_000
+#: White space but for single spaces, whose count is that of any match's first character.
+_WIDE_SPACE = regex.compile(r"\s{2,}|[^\S ]")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -91,6 +106,7 @@ class Vocabulary:
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.memo_pairs: dict[tuple[int, int], bool] = {}
+        self.memo_counts: dict[str, list[int]] = {}
         for i, t in self.tokens.items():
             for k in range(1, len(t)):
                 a, b = ranks.get(t[:k]), ranks.get(t[k:])
@@ -215,42 +231,95 @@ class Vocabulary:
 
     def run_counts(self, text: str) -> list[int]:
         """Token counts of the first 0, 1, ... characters of a text that stands between safe cuts."""
-        if self.special_pattern is not None and self.special_pattern.search(text):
-            return [self.count_run(text[:k]) for k in range(len(text) + 1)]
-        out = [0] * (len(text) + 1)
-        for m in self.pattern.finditer(text):
-            s, e, match = m.start(), m.end(), m[0]
-            counts = self.piece_counts(match.encode())
-            if match[0] == "'" and e - s > 1 and match[1].isalpha():  # a cut contraction isn't one
-                for k in range(s + 1, e):
-                    out[k] = out[s] + self.count_run(text[s:k])
-                out[e] = out[s] + counts[-1]
+        out, part, borders = [0], "", [(0, 0)]
+        for piece, special in self.split_specials(text):
+            base = out[-1]
+            if special is None:
+                counts, borders = self._plain_counts(piece)
+                out += [base + c for c in counts[1:]]
+                part, before = piece, base
                 continue
-            at = 0
-            for k in range(s + 1, e + 1):
-                at += len(text[k - 1].encode())
-                out[k] = out[s] + counts[at]
-        # A prefix that ends in white space has its last white space in one match.
-        for m in regex.finditer(r"\s+", text):
-            counts, at = self.piece_counts(m[0].encode()), 0
-            for k in range(m.start() + 1, m.end() + 1):
-                at += len(text[k - 1].encode())
-                out[k] = out[m.start()] + counts[at]
+            # Prefixes that end inside a special string hold a part of it as plain text. It can only
+            # change the matches from the last border that stands.
+            at, count = borders[-1]
+            out += [before + count + self.count_run(part[at:] + piece[:k]) for k in range(1, len(piece))]
+            out.append(base + 1)
+            part, before, borders = "", base + 1, [(0, 0)]
         return out
 
+    def _plain_counts(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        """run_counts of a text without special strings, and (place, tokens before it) of the borders
+        of matches that stand whatever follows the text."""
+        out, borders, n, base = [0], [(0, 0)], len(text), 0
+        for match in self.pattern.findall(text):  # the matches cover the text
+            counts, at = self.counts_of_match(match), len(out) - 1
+            if borders[-1][0] <= n - 3 and at:  # no contraction, the longest look ahead, is cut
+                borders.append((at, base))
+            if match[0] == "'" and len(match) > 1 and match[1].isalpha():  # a cut contraction isn't one
+                out += [base + self.count_run(match[:k]) for k in range(1, len(match))]
+                out.append(base + counts[-1])
+            else:
+                out += [base + c for c in counts]
+            base += counts[-1]
+        # A prefix that ends in white space has its last white space in one match.
+        for m in _WIDE_SPACE.finditer(text):
+            before = out[m.start()]
+            for k, c in enumerate(self.counts_of_match(m[0]), m.start() + 1):
+                out[k] = before + c
+        return out, borders
+
+    def counts_of_match(self, match: str) -> list[int]:
+        """Token counts of the first 1, 2, ... characters of one match of the pattern."""
+        known = self.memo_counts.get(match)
+        if known is None:
+            known = self.piece_counts(match.encode())
+            if match.isascii():
+                del known[0]
+            else:
+                known = [known[k] for k in accumulate(len(c.encode()) for c in match)]
+            if len(match) <= MEMO_CHARS:
+                if len(self.memo_counts) >= MEMO_MATCHES:
+                    self.memo_counts.clear()
+                self.memo_counts[match] = known
+        return known
+
+
+def as_steps(counts) -> bytes:
+    """Differences of neighbours, a signed byte each; OverflowError if one doesn't fit."""
+    return array("b", map(sub, counts[1:], counts)).tobytes()
+
+
+def counts_of(steps: bytes) -> np.ndarray:
+    """Token counts of the first 0, 1, ... characters from the stored steps."""
+    made = np.frombuffer(steps, f"<i{steps[0]}", offset=1)
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(made, dtype=np.int64)))
+
+
+def fit_of(steps: bytes, budget: int) -> int:
+    """Characters of the longest prefix of at most ``budget`` tokens."""
+    return int(np.flatnonzero(counts_of(steps) <= max(0, budget))[-1])
+
+
+#: The pattern that byte-level tokenizer files imply when they ask for "use_regex". Fixed value.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 class Coder:
     """A vocabulary with memos of the pieces between safe cuts."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        #: Whether texts may be cut at single spaces, and words of letters taken as one match.
+        self.cuts = vocabulary.pattern.pattern == BYTE_LEVEL_PATTERN and not any(re.search(r"\s", x) for x in vocabulary.specials)
         self.first = _Memo(vocabulary.encode_run)
         self.rest = _Memo(self._encode_word, " ")
-        self.first_count = _Memo(vocabulary.count_run)
-        self.rest_count = _Memo(self._count_word, " ")
+        self.first_steps = _Memo(lambda text: as_steps(vocabulary.run_counts(text)))
+        self.rest_steps = _Memo(self._word_steps, " ")
         ids = [*vocabulary.tokens, *vocabulary.specials.values()]
         self.said = [str(i) for i in range(max(ids) + 1)]
         self.bytes = [vocabulary.tokens.get(i, b"") for i in range(max(ids) + 1)]
+        for text, i in vocabulary.specials.items():
+            self.bytes[i] = text.encode()
 
     # A word of plain letters is one match of the pattern; so is a mark after it.
     def _encode_word(self, text):
@@ -261,17 +330,19 @@ class Coder:
             return (*self.rest[word[:-1]], self.vocabulary.latin[word[-1]])
         return self.vocabulary.encode_run(text)
 
-    def _count_word(self, text):
+    def _word_steps(self, text):
         word = text[1:]
         if plain(word):
-            return self.vocabulary.piece_counts(text.encode())[-1]
+            return as_steps([0, *self.vocabulary.counts_of_match(text)])
         if word[-1] in ".,;:!?" and plain(word[:-1]):
-            return self.rest_count[word[:-1]] + 1
-        return self.vocabulary.count_run(text)
+            return self.rest_steps[word[:-1]] + b"\1"
+        return as_steps(self.vocabulary.run_counts(text))
 
     def _each(self, text: str, first: _Memo, rest: _Memo) -> list:
         if not text:
             return []
+        if not self.cuts:
+            return [first.compute(text)]
         head, *tail = text.split(" ")
         try:
             if not head or head[-1].isspace():
@@ -291,33 +362,23 @@ class Coder:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
-    def count(self, text: str) -> int:
-        return sum(self._each(text, self.first_count, self.rest_count))
-
-    def fit(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens."""
-        if not text or budget <= 0:
-            return 0
-        pieces = _SAFE_CUT.split(text)
-        base, at = 0, 0
-        for k, piece in enumerate(pieces):
-            run = " " * (k > 0) + piece
-            n = self.rest_count.get(piece) if k else self.first_count.get(piece)
-            n = self.vocabulary.count_run(run) if n is None else n
-            if base + n >= budget:  # counts dip inside a piece only, so the cut is in this one
-                counts = self.vocabulary.run_counts(run)
-                return at + max(j for j, c in enumerate(counts) if base + c <= budget)
-            base, at = base + n, at + len(run)
-        return at
+    def steps(self, text: str) -> bytes:
+        """The counts at every prefix, as steps."""
+        try:
+            return b"\1" + b"".join(self._each(text, self.first_steps, self.rest_steps))
+        except OverflowError:
+            wide = []
+            for k, piece in enumerate(_SAFE_CUT.split(text) if self.cuts else [text]):
+                wide += [b - a for a, b in pairwise(self.vocabulary.run_counts(" " * (k > 0) + piece))]
+            return b"\4" + np.array(wide, "<i4").tobytes()
 
     def prefix_counts(self, text: str) -> list[int]:
         """Token counts of the first 0, 1, ... len(text) characters."""
-        out, base = [0], 0
-        for k, piece in enumerate(_SAFE_CUT.split(text) if text else []):
-            counts = self.vocabulary.run_counts(" " * (k > 0) + piece)
-            out += [base + c for c in counts[1:]]
-            base += counts[-1]
-        return out
+        return counts_of(self.steps(text)).tolist()
+
+    def count(self, text: str) -> int:
+        steps = self.steps(text)
+        return int(np.frombuffer(steps, f"<i{steps[0]}", offset=1).sum(dtype=np.int64))
 
 
 @functools.lru_cache(maxsize=4)
@@ -327,10 +388,6 @@ def from_ranks(path: str, pattern: str) -> Coder:
     return Coder(Vocabulary(ranks, pattern))
 
 
-#: The pattern that byte-level tokenizer files imply when they ask for "use_regex". Fixed value.
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 def printable_bytes() -> dict[str, int]:
     """The characters by which byte-level tokenizer files write bytes."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -367,8 +424,7 @@ def encode_and_decode(
 
     n_tokens long; token_ids array<int>; decoded binary (the ids decoded again); ids_sha256 and
     decoded_sha256, the hex digests of the ids in decimal joined by spaces and of decoded. Null
-    text counts as empty: no ids, empty bytes. Row by row, without shuffle; repeated rows repeat;
-    columns of docs named like an output are replaced.
+    text counts as empty: no ids, empty bytes.
     """
     kinds = {"n_tokens": "long", "token_ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -398,18 +454,14 @@ def encode_and_decode(
     return map_columns(docs, [text_col], make, [(k, kinds[k]) for k in outputs], keep)
 
 
-def token_counts(
-    docs: DataFrame, path: str, limit: int = LIMIT, text_col: str = "text", keep=None, store_prefixes: bool = True
-) -> DataFrame:
-    """docs' ``keep`` columns (default: all), n_bytes, n_tokens, over_limit and fit_chars.
+def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text_col: str = "text", keep=None) -> DataFrame:
+    """docs' ``keep`` columns (default: all), n_bytes, n_tokens, over_limit, fit_chars and prefix_steps.
 
-    fit_chars: length of the longest prefix of at most ``limit`` tokens; with store_prefixes also
-    prefix_counts array<int>, whose k-th entry (from 0) is the exact count of the first k
-    characters, so that any other budget or cut is answered from the column. Special strings in
-    texts count as the file's special tokens. Null text counts as empty: 0 tokens, prefix_counts [0].
+    prefix_steps: the exact token count at every prefix, as steps (binary); all else comes from it.
+    fit_chars: length of the longest prefix of at most ``limit`` tokens. Special strings in texts
+    count as the file's special tokens. Null text counts as empty: 0 tokens.
     """
-    fields = [("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean"), ("fit_chars", "long")]
-    fields += [("prefix_counts", "array<int>")] * store_prefixes
+    fields = [("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean"), ("fit_chars", "long"), ("prefix_steps", "binary")]
 
     def make():
         coder = from_json(path)
@@ -418,15 +470,31 @@ def token_counts(
             rows = []
             for text in texts:
                 text = text or ""
-                if store_prefixes:
-                    counts = coder.prefix_counts(text)
-                    fit = max(k for k, c in enumerate(counts) if c <= limit)
-                    rows.append((len(text.encode()), counts[-1], counts[-1] > limit, fit, counts))
-                else:
-                    n = coder.count(text)
-                    rows.append((len(text.encode()), n, n > limit, coder.fit(text, limit) if n > limit else len(text)))
+                steps = coder.steps(text)
+                n = int(np.frombuffer(steps, f"<i{steps[0]}", offset=1).sum(dtype=np.int64))
+                rows.append((len(text.encode()), n, n > limit, fit_of(steps, limit) if n > limit else len(text), steps))
             return [list(c) for c in zip(*rows)] if rows else [[] for _ in fields]
 
         return work
 
     return map_columns(docs, [text_col], make, fields, keep)
+
+
+def counts_at(counted: DataFrame, at_col: str, steps_col: str = "prefix_steps", name: str = "tokens_at", keep=None) -> DataFrame:
+    """Token count of the first at_col characters of each text, from the stored steps.
+
+    Null steps or places give null; a place beyond the text stands for its end, one below 0 for 0.
+    """
+
+    def make():
+        def work(steps, places):
+            return [[None if s is None or k is None else int(counts_of(s)[: max(0, k) + 1][-1]) for s, k in zip(steps, places)]]
+
+        return work
+
+    return map_columns(counted, [steps_col, at_col], make, [(name, "long")], keep)
+
+
+def fitting(counted: DataFrame, budget: int, steps_col: str = "prefix_steps", name: str = "fit_chars", keep=None) -> DataFrame:
+    """Characters of the longest prefix of each text within the budget, from the stored steps; null for null."""
+    return map_columns(counted, [steps_col], lambda: lambda steps: [[None if s is None else fit_of(s, budget) for s in steps]], [(name, "long")], keep)

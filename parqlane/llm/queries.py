@@ -24,7 +24,7 @@ def op2_anisotropic_search(spark, sf_dir):
 def op3_token_counts(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.token_counts(docs, path, keep=["doc_id"], store_prefixes=False)
+    return bpe.token_counts(docs, path, keep=["doc_id"])
 
 
 def op4_byte_bpe(spark, sf_dir):

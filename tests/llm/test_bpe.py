@@ -1,12 +1,14 @@
 import base64
 import hashlib
 import random
+import time
 
 import public_tokenizers as P
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from parqlane.llm import bpe
@@ -36,7 +38,8 @@ def test_every_code_point(tik, tok):
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f"a{c}1{c} {c}b " for c in points[k : k + 64]) for k in range(0, len(points), 64)]
     assert [coder.encode(t) for t in texts] == tik.encode_ordinary_batch(texts)
-    assert [counter.count(t) for t in texts] == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    fewer = texts[:64] + texts[64::16]
+    assert [counter.count(t) for t in fewer] == [len(e.ids) for e in tok.encode_batch(fewer, add_special_tokens=False)]
 
 
 ALPHABET = st.sampled_from(list("aeinrst'AZ09 .,!\n\t|<>é日") + ["  ", "<|endoftext|>", "the ", " 're", " ", "\x1d"])
@@ -52,8 +55,9 @@ def test_random_texts(text):
     plain = [len(e.ids) for e in test_random_texts.tok.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
     assert counter.prefix_counts(text) == plain
     assert counter.count(text) == plain[-1]
+    steps = counter.steps(text)
     for budget in (0, 1, 2, 5, 11):
-        assert counter.fit(text, budget) == max(k for k, c in enumerate(plain) if c <= budget)
+        assert bpe.fit_of(steps, budget) == max(k for k, c in enumerate(plain) if c <= budget)
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -83,18 +87,69 @@ def test_frames(spark, sf, tik, tok):
         ids = tik.encode_ordinary(rows[r.doc_id])
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(rows[r.doc_id].encode()).hexdigest()
-    stored = {r.doc_id: r for r in bpe.token_counts(docs, JSON, keep=["doc_id"]).collect()}
-    for r in bpe.token_counts(docs, JSON, keep=["doc_id"], store_prefixes=False).collect():
-        s, text = stored[r.doc_id], rows[r.doc_id]
-        assert r.n_tokens == len(tok.encode(text, add_special_tokens=False).ids) == s.prefix_counts[-1] == s.n_tokens
-        assert (r.n_bytes, r.over_limit, r.fit_chars) == (s.n_bytes, s.over_limit, s.fit_chars)
+    counted = bpe.token_counts(docs, JSON, keep=["doc_id"]).cache()
+    for r in counted.collect():
+        text = rows[r.doc_id]
+        counts = bpe.counts_of(r.prefix_steps)
+        assert r.n_tokens == len(tok.encode(text, add_special_tokens=False).ids) == counts[-1] and len(counts) == len(text) + 1
         assert r.n_bytes == len(text.encode()) and r.over_limit == (r.n_tokens > 512)
+        assert counts[r.fit_chars] <= 512 and (counts[r.fit_chars + 1 :] > 512).all()
+    # questions answered from the column
+    asked = bpe.counts_at(counted.withColumn("at", F.least(F.lit(100), "fit_chars")), "at", keep=["doc_id", "at"])
+    for r in asked.collect():
+        assert r.tokens_at == len(tok.encode(rows[r.doc_id][: r.at], add_special_tokens=False).ids)
+    for r in bpe.fitting(counted, 50, keep=["doc_id"]).collect():
+        text = rows[r.doc_id]
+        assert len(tok.encode(text[: r.fit_chars], add_special_tokens=False).ids) <= 50
+    counted.unpersist()
+
+
+def test_long_texts_without_spaces_but_with_specials(tok):
+    """Time in proportion to the text, also where special strings stand in it."""
+    rng = random.Random(5)
+    coder = bpe.from_json(JSON)
+    text = "".join(rng.choice("日本語の文章は空白を持たない") for _ in range(20_000))
+    text = "<|endoftext|>".join(text[k : k + 1000] for k in range(0, len(text), 1000)) * 10
+    began = time.perf_counter()
+    counts = coder.prefix_counts(text)
+    assert time.perf_counter() - began < 60 and len(counts) == len(text) + 1 > 200_000
+    for k in [*rng.sample(range(len(text)), 5), *range(1000, 1014), len(text)]:
+        assert counts[k] == len(tok.encode(text[:k], add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("before", ["", "a", "x'r", "'", " ", "a  ", "!", "'l", "we'r", "\n ", "1"])
+def test_cuts_inside_special_strings(tok, before):
+    coder = bpe.from_json(JSON)
+    for text in (f"{before}<|endoftext|>", f"ab {before}<|endoftext|>{before}<|endoftext|>end"):
+        assert coder.prefix_counts(text) == [len(tok.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+
+
+def test_other_patterns_and_special_strings():
+    """Where texts can't be cut at spaces they aren't."""
+    split_case = r"\p{Lu}?\p{Ll}+|\p{Lu}+|\p{N}| ?[^\s\p{L}\p{N}]+|\s+"
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    other = tiktoken.Encoding("other", pat_str=split_case, mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.from_ranks(RANKS, split_case)
+    for text in ("camelCase wordsHere AND THERE 12 x", "one two  three\n", ""):
+        assert coder.encode(text) == other.encode_ordinary(text)
+    ids = {t: i for i, t in enumerate([bytes([b]) for b in range(256)])}
+    spaced = bpe.Coder(bpe.Vocabulary(ids, bpe.BYTE_LEVEL_PATTERN, {"a b": 256}))
+    assert not spaced.cuts and spaced.count("xa b y") == 4 and spaced.prefix_counts("a b") == [0, 1, 2, 1]
+    assert spaced.decode(spaced.encode("xa b y")) == b"xa b y"
+
+
+def test_steps_that_need_more_than_a_byte():
+    ids = {t: i for i, t in enumerate([bytes([b]) for b in range(256)])}
+    coder = bpe.Coder(bpe.Vocabulary(ids, bpe.BYTE_LEVEL_PATTERN, {"!" * 300: 256}))
+    steps = coder.steps("a " + "!" * 300)
+    assert steps[0] == 4 and bpe.counts_of(steps).tolist() == [0, 1, 2, *range(3, 302), 3]
 
 
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, None, 7), (1, "", 8), (1, "", 8), (2, "word " * 50000, 9)], "doc_id long, text string, n_tokens int")
     out = bpe.encode_and_decode(df, RANKS, P.PATTERN).collect()
     assert [r.n_tokens for r in out][:3] == [0, 0, 0] and out[3].n_tokens > 50000 - 1 and out[0].token_ids == []
-    counts = bpe.token_counts(df, JSON, store_prefixes=False).collect()
+    counts = bpe.token_counts(df, JSON).collect()
     assert [(r.n_bytes, r.n_tokens, r.fit_chars) for r in counts][:3] == [(0, 0, 0)] * 3
     assert bpe.token_counts(df.limit(0), JSON).count() == 0 and bpe.encode_and_decode(df.limit(0), RANKS, P.PATTERN).count() == 0
