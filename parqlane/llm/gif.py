@@ -5,9 +5,13 @@ methods, transparent pixels, deferred clears and several frames. A code's width
 place since the last clear, so a stretch between two clears is unpacked at once by numpy and only
 the string table is walked in Python.
 
-Bytes are stored as pictures 192 wide with the grey palette, where sample and index are equal; a
-frame holds up to ``FRAME_ROWS`` rows. Each row is handled by itself, in bounded batches, without
-shuffle. Defined cases: null media or media that isn't a GIF gives null columns and an error text;
+Bytes are stored as animations 192 wide. A byte is a colour (three bits of red and green, two of
+blue), a frame holds up to ``FRAME_ROWS`` rows with a table of the colours it uses, pixels that show
+the right colour already are transparent, and frames are left, cleared or undone in turn. So what is
+read back is the canvas, by the rules of palettes, transparency and disposal, and not the samples.
+
+Each row is handled by itself, in bounded batches, without shuffle. Defined cases: null media, media
+that isn't a GIF, or pictures of more than ``MOST_PIXELS`` in all give null columns and an error text;
 null text counts as empty; a frame cut short keeps the pixels it has, the rest are index 0; repeated
 rows repeat; columns named like an output are replaced; an empty table gives an empty table.
 """
@@ -24,7 +28,9 @@ from pyspark.sql import DataFrame
 
 from parqlane.llm.common import map_columns
 
-WIDTH, FRAME_ROWS, DELAY = 192, 256, 10
+WIDTH, FRAME_ROWS, DELAY = 192, 64, 10
+#: Pixels of the canvas and of all frames of a foreign GIF: a header can ask for far more than its file holds.
+MOST_PIXELS = 1 << 26
 BINS = 4  # of each colour channel in a histogram
 MOST = 4096  # Fixed by the format: codes have up to 12 bits.
 
@@ -200,12 +206,12 @@ def _colours(data: bytes, at: int, packed: int):
 PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
 
 
-def decode(data: bytes) -> Gif:
-    """Parse a GIF and decode all frames; ValueError if it isn't one."""
+def decode(data: bytes, most_pixels: int | None = None) -> Gif:
+    """Parse a GIF and decode all frames; ValueError if it isn't one or holds more pixels."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, packed, background, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, palette = 13, None
+    at, palette, pixels = 13, None, width * height
     if packed & 0x80:
         palette, at = _colours(data, at, packed)
     gif = Gif(width, height, background, palette)
@@ -226,7 +232,9 @@ def decode(data: bytes) -> Gif:
         if kind != 0x2C or at + 11 > len(data):
             raise ValueError(f"unknown or cut block at byte {at}")
         left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at + 1)
-        at, own = at + 10, palette
+        at, own, pixels = at + 10, palette, pixels + w * h
+        if most_pixels is not None and pixels > most_pixels:
+            raise ValueError(f"more than {most_pixels} pixels")
         if packed & 0x80:
             own, at = _colours(data, at, packed)
         if own is None:
@@ -252,22 +260,26 @@ def decode(data: bytes) -> Gif:
 
 
 def encode(frames, width: int, height: int, palette: bytes, loops: int | None = 0) -> bytes:
-    """A GIF89a; frames: (samples, left, top, width, height, delay, disposal, transparent or None)."""
-    size = (len(palette) // 3 - 1).bit_length() - 1
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF0 | size, 0, 0), palette]
+    """A GIF89a; frames: (samples, left, top, width, height, delay, disposal, transparent or None) and,
+    where a frame has a colour table of its own, that. Tables hold 2, 4, ... or 256 colours."""
+    bits = lambda table: (len(table) // 3 - 1).bit_length() - 1  # noqa: E731  as the format has it, one less
+    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF0 | bits(palette), 0, 0), palette]
     if loops is not None:
         out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01" + struct.pack("<H", loops) + b"\0")
-    least = max(2, size + 1)
-    for samples, left, top, w, h, delay, disposal, transparent in frames:
+    for samples, left, top, w, h, delay, disposal, transparent, *own in frames:
         flags = disposal << 2 | (transparent is not None)
         out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, flags, delay, transparent or 0, 0))
-        out.append(struct.pack("<BHHHHB", 0x2C, left, top, w, h, 0) + bytes((least,)))
+        out.append(struct.pack("<BHHHHB", 0x2C, left, top, w, h, 0x80 | bits(own[0]) if own else 0) + (own[0] if own else b""))
+        least = max(2, bits(own[0] if own else palette) + 1)
         stream = lzw_encode(samples, least)
+        out.append(bytes((least,)))
         out += [bytes((len(part),)) + part for k in range(0, len(stream), 255) if (part := stream[k : k + 255])]
         out.append(b"\0")
     return b"".join([*out, b";"])
 
 
+#: The colour of each byte: bits 7 to 5 are red, 4 to 2 green, 1 and 0 blue.
+CUBE = np.array([((v >> 5) * 36, (v >> 2 & 7) * 36, (v & 3) * 85) for v in range(256)], np.uint8)
 GREYS = bytes(v for v in range(256) for _ in range(3))
 
 
@@ -278,17 +290,40 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def store(payload: bytes, frame_rows: int = FRAME_ROWS, delay: int = DELAY) -> bytes:
-    """Lossless: each byte is a sample of the grey palette."""
-    rows, frames = len(payload) // WIDTH, []
-    for top in range(0, rows, frame_rows):
-        h = min(frame_rows, rows - top)
-        frames.append((payload[top * WIDTH : (top + h) * WIDTH], 0, 0, WIDTH, h, delay, 1, None))
-    return encode(frames, WIDTH, min(rows, frame_rows), GREYS, 0 if len(frames) > 1 else None)
+    """Lossless: the canvas shows each byte's colour while the frame of its row is on."""
+    samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    shown = np.full((min(len(samples), frame_rows), WIDTH), -1, np.int16)  # bytes on the canvas; -1: nothing
+    frames = []
+    for k, top in enumerate(range(0, len(samples), frame_rows)):
+        part = samples[top : top + frame_rows]
+        area, disposal = shown[: len(part)], 1 + k % 3
+        used = np.flatnonzero(np.bincount(part.ravel(), minlength=256))
+        index, own, clear = np.arange(256, dtype=np.uint8), (), None
+        if len(used) < 128:  # a table of these colours and a transparent one
+            index[used] = np.arange(len(used))
+            table = np.zeros((1 << len(used).bit_length(), 3), np.uint8)
+            table[: len(used)] = CUBE[used]
+            own, clear = (table.tobytes(),), len(used)
+        elif len(used) < 256:
+            clear = int(np.setdiff1d(np.arange(256), used)[0])
+        same, indices = area == part, index[part]
+        if clear is not None:
+            indices[same] = clear
+        frames.append((indices.tobytes(), 0, 0, WIDTH, len(part), delay, disposal, clear, *own))
+        before = area.copy()
+        area[:] = -1 if disposal == 2 else before if disposal == 3 else part
+    return encode(frames, WIDTH, len(shown), CUBE.tobytes(), 0 if len(frames) > 1 else None)
+
+
+def bytes_of(frame: Frame, canvas: np.ndarray) -> bytes:
+    """The bytes whose colours stand in the frame's place while it is shown."""
+    area = canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width]
+    return (area[..., 0] // 36 << 5 | area[..., 1] // 36 << 2 | area[..., 2] // 85).tobytes()
 
 
 def stored_bytes(gif: Gif) -> bytes:
-    """What store() was given: the frames' samples through the palette, in order."""
-    return b"".join(f.palette[:, 0][f.indices].tobytes() for f in gif.frames)
+    """What store() was given, from the pictures shown one after another."""
+    return b"".join(bytes_of(f, canvas) for f, canvas in zip(gif.frames, gif.render(), strict=True))
 
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
@@ -304,18 +339,20 @@ FRAME_TYPE = (
 )
 
 
+def _frame_row(f: Frame, canvas: np.ndarray, start: int) -> dict:
+    place = {"start_ms": start, "delay_ms": 10 * f.delay, "disposal": f.disposal, "left": f.left, "top": f.top}
+    return place | {"width": f.width, "height": f.height, "histogram": histogram(canvas).tolist()}
+
+
 def frame_rows(gif: Gif) -> list[dict]:
     out, start = [], 0
     for f, canvas in zip(gif.frames, gif.render(), strict=True):
-        out.append(
-            {"start_ms": start, "delay_ms": 10 * f.delay, "disposal": f.disposal, "left": f.left, "top": f.top}
-            | {"width": f.width, "height": f.height, "histogram": histogram(canvas).tolist()}
-        )
+        out.append(_frame_row(f, canvas, start))
         start += 10 * f.delay
     return out
 
 
-def gif_columns(docs: DataFrame, media_col: str, keep=None) -> DataFrame:
+def gif_columns(docs: DataFrame, media_col: str, keep=None, most_pixels: int = MOST_PIXELS) -> DataFrame:
     """docs' ``keep`` columns (default: all), gif_width, gif_height, gif_loops, gif_frames, gif_error.
 
     gif_frames: each frame's time, place, disposal and the colour histogram of the picture shown.
@@ -328,7 +365,7 @@ def gif_columns(docs: DataFrame, media_col: str, keep=None) -> DataFrame:
                 try:
                     if data is None:
                         raise ValueError("no media")
-                    gif = decode(bytes(data))
+                    gif = decode(bytes(data), most_pixels)
                     rows.append((gif.width, gif.height, gif.loops, frame_rows(gif), None))
                 except ValueError as why:
                     rows.append((None, None, None, None, str(why)))
@@ -340,9 +377,8 @@ def gif_columns(docs: DataFrame, media_col: str, keep=None) -> DataFrame:
     return map_columns(docs, [media_col], make, fields, keep)
 
 
-def feature_of(gif: Gif) -> str:
+def feature_of(rows: list[dict]) -> str:
     """Frames, total time and, over all frames, pixels in each bin that has some."""
-    rows = frame_rows(gif)
     total = np.sum([r["histogram"] for r in rows], axis=0)
     bins = ",".join(f"{k}:{total[k]}" for k in np.flatnonzero(total))
     return f"frames={len(rows)};ms={sum(r['delay_ms'] for r in rows)};bins={bins}"
@@ -350,14 +386,15 @@ def feature_of(gif: Gif) -> str:
 
 TEXT_MEDIA = {
     "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long",
-    "media_sha256": "string", "feature": "string", "media": "binary",
+    "media_sha256": "string", "feature": "string", "frames": FRAME_TYPE, "media": "binary",
 }
 
 
 def text_media(docs: DataFrame, text_col: str = "text", keep=None, outputs=tuple(TEXT_MEDIA)) -> DataFrame:
     """docs' ``keep`` columns (default: all) and ``outputs`` of each text stored as a GIF.
 
-    media: the GIF; the payload's columns and the feature come from the GIF decoded again.
+    media: the GIF; frames: its timed frames with their colour histograms, as in ``gif_columns``. The
+    payload's columns, the feature and the frames come from the GIF decoded again.
     """
 
     def make():
@@ -366,12 +403,15 @@ def text_media(docs: DataFrame, text_col: str = "text", keep=None, outputs=tuple
             for text in texts:
                 payload, n = payload_of(text)
                 media = store(payload)
-                gif = decode(media)
-                back = stored_bytes(gif)
+                gif, parts, rows = decode(media), [], []
+                for f, canvas in zip(gif.frames, gif.render(), strict=True):
+                    parts.append(bytes_of(f, canvas))
+                    rows.append(_frame_row(f, canvas, sum(r["delay_ms"] for r in rows[-1:]) + (rows[-1]["start_ms"] if rows else 0)))
+                back = b"".join(parts)
                 row = {
                     "n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(),
                     "tail_crc32": zlib.crc32(back[-16:]), "media_bytes": len(media),
-                    "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature_of(gif), "media": media,
+                    "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature_of(rows), "frames": rows, "media": media,
                 }
                 for k, column in made.items():
                     column.append(row[k])
