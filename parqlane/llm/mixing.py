@@ -7,8 +7,11 @@ highest quotients of their sizes, and a shard takes its quota as full passes ove
 plus a run of consecutive blocks (the stream taken as a ring) from a seeded start. As documents
 stand in seeded order this is a seeded choice of documents, and all but two per shard stay whole.
 
-Scale: one row per source reaches the driver; shards bound every window, so a hot source is many
-windows; the quota of a shard is found among six seats around its proportional share.
+Scale: one row per source reaches the driver. A source's shards are dealt into groups of at most
+``GROUP_SHARDS``; its quota goes to its groups by highest quotients and a group's to its shards, so
+no window holds more than the groups of a source or the shards of a group, and documents are laid
+out shard by shard: a hot source is many windows. A quota is found among six seats around the
+proportional share.
 
 Defined cases: null or empty text has size 0, is kept and takes nothing; null source is a source of
 its own, ordered last; repeated rows each count; null ids are ordinary values; an empty table gives
@@ -30,7 +33,7 @@ from parqlane.llm.common import SEED, WORD, materialise
 
 CAP = 3
 BLOCK_WORDS = 64
-SHARD_WORDS = 1 << 20
+SHARD_WORDS, GROUP_SHARDS = 1 << 20, 4096
 #: Seats looked at below and above the proportional share of a shard.
 BELOW, ABOVE = 2, 3
 
@@ -95,6 +98,20 @@ def _plan(totals, weigh, cap, block_words, shard_words):
     ]
 
 
+def _apportioned(parts: DataFrame, within: list[str], own: str, cap: int) -> DataFrame:
+    """parts (within, own, quota, whole, size, blocks) with q, their seats of the quota of what they are
+    within (whole in size): seats certain below the proportional share, the rest by highest quotient."""
+    share = F.col("quota") * F.col("size") / F.col("whole")
+    base = F.greatest(F.lit(0), F.least(F.floor(share) - BELOW, cap * F.col("blocks"))).cast("long")
+    parts, per = parts.withColumn("base", base), Window.partitionBy(*within)
+    full, quotient = F.col("seat") >= cap * F.col("blocks"), F.col("size") / (2 * F.col("seat") + 1)
+    best = F.row_number().over(per.orderBy(full, quotient.desc(), own, "seat"))
+    seats = parts.withColumn("left", F.col("quota") - F.sum("base").over(per))
+    seats = seats.withColumn("seat", F.explode(F.sequence(F.col("base"), F.col("base") + BELOW + ABOVE)))
+    won = seats.withColumn("won", ((best <= F.col("left")) & ~full).cast("long"))
+    return won.groupBy(*within, own, "size", "blocks", "base").agg((F.col("base") + F.sum("won")).alias("q"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -145,40 +162,17 @@ def mix(
         "shard", F.pmod(F.shiftrightunsigned("h", 17), F.col("shards"))
     )
 
-    # Sainte-Lague among the shards of a source: seats certain below the share, the rest by quotient.
-    n_block = F.ceil(F.col("s_size") / block).cast("long")
-    share = F.col("quota") * F.col("s_size") / F.col("source_size")
-    shards = (
-        dealt.where("n > 0")
-        .groupBy("s", "shard", "quota", "source_size")
-        .agg(F.sum("n").alias("s_size"))
-        .withColumn("blocks", n_block)
-        .withColumn("base", F.greatest(F.lit(0), F.least(F.floor(share) - BELOW, cap * F.col("blocks"))).cast("long"))
-    )
-    per_source = Window.partitionBy("s")
-    seat = F.explode(F.sequence(F.lit(0), F.lit(BELOW + ABOVE)))
-    seats = (
-        shards.withColumn("left", F.col("quota") - F.sum("base").over(per_source))
-        .withColumn("step", seat)
-        .withColumn("seat", F.col("base") + F.col("step"))
-        .withColumn(
-            "won",
-            (
-                F.row_number().over(
-                    per_source.orderBy(
-                        (F.col("seat") >= cap * F.col("blocks")),
-                        (F.col("s_size") / (2 * F.col("seat") + 1)).desc(),
-                        "shard",
-                        "seat",
-                    )
-                )
-                <= F.col("left")
-            )
-            & (F.col("seat") < cap * F.col("blocks")),
-        )
-        .groupBy(F.col("s").alias("q_s"), F.col("shard").alias("q_shard"), "s_size", "blocks", "base")
-        .agg((F.col("base") + F.sum(F.col("won").cast("long"))).alias("q"))
-    )
+    # Sainte-Lague among the groups of a source's shards, then among the shards of a group.
+    shards = dealt.where("n > 0").groupBy("s", "shard", "quota", "source_size").agg(F.sum("n").alias("size"))
+    shards = shards.select(
+        "s", F.floor(F.col("shard") / GROUP_SHARDS).alias("grp"), "shard", "quota", F.col("source_size").alias("whole"), "size",
+        F.ceil(F.col("size") / block).cast("long").alias("blocks"),
+    )
+    shards = materialise(shards, "shards")
+    groups = shards.groupBy("s", "grp", "quota", "whole").agg(F.sum("size").alias("size"), F.sum("blocks").alias("blocks"))
+    groups = _apportioned(groups, ["s"], "grp", cap).select(F.col("s").alias("g_s"), F.col("grp").alias("g"), F.col("q").alias("quota"), F.col("size").alias("whole"))
+    own = shards.drop("quota", "whole").join(groups, (F.col("s") == F.col("g_s")) & (F.col("grp") == F.col("g"))).drop("g_s", "g")
+    seats = _apportioned(own, ["s", "grp"], "shard", cap).select(F.col("s").alias("q_s"), F.col("shard").alias("q_shard"), "q", "blocks")
     along = Window.partitionBy("s", "shard").orderBy("h", "id", "n").rowsBetween(Window.unboundedPreceding, 0)
     laid = (
         dealt.withColumn("to", F.sum("n").over(along))
