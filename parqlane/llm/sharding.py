@@ -6,7 +6,9 @@ files its tasks write. Compaction takes runs of similarly sized shards (one tier
 ``fanout`` in bytes) and merges each run into files of about the target size; a merged file is one
 task that reads its run's files and writes one file, so no row is shuffled. A version is committed
 by renaming its file to the next number, which fails if another writer was first; such a writer
-starts again from the newer version. Readers keep the version they opened; files go with vacuum().
+starts again from the newer version. Readers keep the version they opened; files go with vacuum(),
+which leaves alone what is younger than its age bound, so that it can't take files that an append has
+written and not yet committed; a commit makes sure that its new files are there.
 
 The main path is DataFrame operations and file-system calls only. The driver holds one entry per
 shard, never a row. A lost executor repeats its own task; an attempt that fails before the rename
@@ -14,13 +16,14 @@ leaves files no version names.
 
 Defined cases: rows are kept as they are, repeated rows, nulls and long texts included; an empty
 arrival adds no shard and keeps the schema, so an empty store reads as an empty table; a second
-arrival must have the first one's columns; a shard as large as the target is left alone.
+arrival must have the first one's columns and types (ValueError otherwise); a shard as large as the target is left alone.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
@@ -32,6 +35,16 @@ from pyspark.sql import types as T
 from parqlane.llm.common import file_system, hadoop_path
 
 TARGET_BYTES, FANOUT, LEAST_BYTES, JOBS, BROADCAST_SHARDS = 128 << 20, 4, 1 << 20, 64, 10_000
+#: Age, in seconds, from which vacuum() takes files that no kept version names.
+VACUUM_AGE = 24 * 3600
+LISTED = 100
+
+
+def kinds_of(schema: dict) -> list:
+    """Names and types of a schema's fields, without nullability and metadata."""
+    if isinstance(schema, dict):
+        return {k: kinds_of(v) for k, v in schema.items() if k not in ("nullable", "metadata", "containsNull", "valueContainsNull")}
+    return [kinds_of(x) for x in schema] if isinstance(schema, list) else schema
 
 
 class Conflict(Exception):
@@ -146,14 +159,26 @@ class ShardStore:
             except Conflict:
                 continue
 
+    def _below(self, path) -> str:
+        """A file's path below the store."""
+        return "data/" + path.toString().rpartition("/data/")[2]
+
+    def _there(self, shards) -> None:
+        """FileNotFoundError unless all of the shards' files are there."""
+        for k in range(0, len(shards), LISTED):
+            some = {s.path for s in shards[k : k + LISTED]}
+            found = self.fs.globStatus(self._p("{" + ",".join(sorted(some)) + "}")) or ()
+            if gone := some - {self._below(f.getPath()) for f in found}:
+                raise FileNotFoundError(f"{min(gone)} and others, {len(gone)} in all, are gone before they were committed")
+
     # Shards
 
     def _written(self, folders: list[str]) -> list[Shard]:
         """The non-empty shards of freshly written folders; row counts come from the footers."""
         files = {}
-        for folder in folders:
-            for f in self.fs.globStatus(self._p(f"{folder}/*.parquet")) or ():
-                files[f"{folder}/{f.getPath().getName()}"] = f.getLen()
+        for k in range(0, len(folders), LISTED):  # so many folders a listing
+            for f in self.fs.globStatus(self._p("{" + ",".join(folders[k : k + LISTED]) + "}/*.parquet")) or ():
+                files[self._below(f.getPath())] = f.getLen()
         if not files:
             return []
         read = self.spark.read.option("recursiveFileLookup", "true").parquet(*(f"{self.path}/{p}" for p in files))
@@ -170,8 +195,8 @@ class ShardStore:
         kept = rows if arrival_col is None else rows.drop(arrival_col)
         schema = json.loads(kept.schema.json())
         there = self.manifest().schema
-        if there and [f["name"] for f in json.loads(there)["fields"]] != kept.columns:
-            raise ValueError("an arrival must have the store's columns")
+        if there and kinds_of(json.loads(there)) != kinds_of(schema):
+            raise ValueError("an arrival must have the store's columns and types")
         if arrival_col is not None:  # numbers only, so folder names need no escapes
             rows = rows.withColumn(arrival_col, F.col(arrival_col).cast("long"))
         writer = rows.write if arrival_col is None else rows.write.partitionBy(arrival_col)
@@ -184,6 +209,7 @@ class ShardStore:
         out = []
         for place in folders or [folder]:
             own = [s for s in new if s.path.rpartition("/")[0] == place]
+            self._there(own)
             out.append(self._settle(lambda base, own=own: ((*base.shards, *own), base.schema or json.dumps(schema))))
         return out
 
@@ -204,6 +230,8 @@ class ShardStore:
                 new = self._written(list(pool.map(merge, todo)))
             gone = {s for run in todo for s in run}
 
+            self._there(new)
+
             def swap(now, new=new, gone=gone):
                 if not gone <= set(now.shards):
                     raise LookupError("another compaction took some of the shards")
@@ -243,16 +271,16 @@ class ShardStore:
         out = out.join(listed, "__name")
         return out.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"__{x}").alias(prefix + x) for x in ("id", "rows", "bytes")))
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete manifests but the newest ``keep`` and files that none of those names; how many files."""
+    def vacuum(self, keep: int = 1, older_than_s: float = VACUUM_AGE) -> int:
+        """Delete manifests but the newest ``keep``, and files older than so many seconds that none of
+        those names; how many files. The age must exceed the time that a writer takes to commit."""
         versions = self.versions()
         held = {s.path for v in versions[-keep:] for s in self.manifest(v).shards}
         for v in versions[:-keep]:
             self.fs.delete(self._p(f"manifest/v{v:020d}.json"), False)
-        deleted = 0
+        deleted, bound = 0, (time.time() - older_than_s) * 1000
         for pattern in ("data/*/*.parquet", "data/*/*/*.parquet"):
             for f in self.fs.globStatus(self._p(pattern)) or ():
-                path = f.getPath().toString().rpartition(f"{self.path.rpartition(':')[2]}/")[2]
-                if path not in held:
+                if self._below(f.getPath()) not in held and f.getModificationTime() <= bound:
                     deleted += self.fs.delete(f.getPath(), False)
         return deleted

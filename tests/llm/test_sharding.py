@@ -42,7 +42,8 @@ def test_appends_compaction_and_versions(spark, sf):
     assert rows_of(store.read(5)) == rows_of(docs)  # the older version is still there
     marked = store.read_with_shards().groupBy("shard_id", "shard_rows").count().collect()
     assert {r.shard_id: (r.shard_rows, r["count"]) for r in marked} == {k: (s.rows, s.rows) for k, s in enumerate(done.shards)}
-    assert store.vacuum() > 0 and rows_of(store.read()) == rows_of(docs) and store.versions() == [done.version]
+    assert store.vacuum(keep=99) == 0  # all files are young
+    assert store.vacuum(older_than_s=0) > 0 and rows_of(store.read()) == rows_of(docs) and store.versions() == [done.version]
 
 
 def test_the_second_of_two_writers_starts_again(spark):
@@ -53,8 +54,47 @@ def test_the_second_of_two_writers_starts_again(spark):
     with pytest.raises(sharding.Conflict):
         store.commit(base, base.shards, base.schema)
     assert store.versions() == [1, 2] and store.read().count() == 2
-    with pytest.raises(ValueError):
-        store.append(one.drop("text"))
+    for other in (one.drop("text"), one.withColumn("doc_id", F.col("doc_id").cast("string")), one.select("text", "doc_id", "shard_id")):
+        with pytest.raises(ValueError):
+            store.append(other)
+    assert store.versions() == [1, 2] and store.read().count() == 2
+
+
+def test_vacuum_beside_an_append(spark):
+    """Files of an append that hasn't committed stay; an append whose files are gone doesn't commit."""
+    one = spark.createDataFrame([(1, "a", None)], SCHEMA)
+    store = sharding.ShardStore(spark, scratch_path(spark, "store"))
+    store.append(one)
+    settle = store._settle
+
+    def between(age):
+        def run(change):
+            sharding.ShardStore(spark, store.path).vacuum(older_than_s=age)
+            return settle(change)
+
+        return run
+
+    store._settle = between(sharding.VACUUM_AGE)
+    store.append(one)
+    assert store.read().count() == 2
+    store._settle, there = settle, store._there
+    store._there = lambda shards: (sharding.ShardStore(spark, store.path).vacuum(older_than_s=-60), there(shards))
+    with pytest.raises(FileNotFoundError):
+        store.append(one)
+    assert store.read().count() == 2
+
+
+def test_query_against_the_table(spark, sf):
+    """Every row once, each in a shard whose count and place in the manifest agree."""
+    from parqlane.llm import queries
+
+    got = queries.QUERIES["op5_tiered_shards"](spark, sf).collect()
+    want = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "sha2(text, 256) AS text_sha256").collect()
+    assert sorted((r.doc_id, str(r.text_sha256)) for r in got) == sorted((r.doc_id, str(r.text_sha256)) for r in want)
+    shards = {}
+    for r in got:
+        shards.setdefault((r.shard_id, r.shard_rows, r.shard_bytes), []).append(r.doc_id)
+    assert sorted(k for k, _, _ in shards) == list(range(len(shards))) and all(n == len(rows) for (_, n, _), rows in shards.items())
 
 
 def test_odd_rows(spark):
