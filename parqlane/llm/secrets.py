@@ -4,8 +4,9 @@ A text version is a blob, addressed by the SHA-256 of its UTF-8 bytes; a rule is
 kind and a digest of its pattern. The ledger, a folder of Parquet files in a store all executors
 share, has one row per (blob, rule version) that was ever scanned, with what was found. A scan
 
-1. addresses all rows and looks up which pairs the ledger lacks,
-2. brings one copy of each blob that lacks a pair (equal texts are merged before the shuffle),
+1. addresses all rows and looks up, by addresses alone, which pairs the ledger lacks,
+2. takes one copy of each blob that lacks a pair: where few do, a blob that stands once is scanned in
+   its place and only the others move; equal texts are merged before any shuffle,
 3. runs the missing rules over those texts and appends the findings to the ledger, and
 4. joins the findings back to every path, that is, every row that holds the blob.
 
@@ -27,7 +28,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parqlane.llm.common import file_system, hadoop_path, scratch_path
+from parqlane.llm.common import discard, file_system, hadoop_path, materialise, scratch_path
+
+#: Blobs (some 200 bytes each) up to which what the ledger lacks is broadcast.
+BROADCAST_BLOBS = 200_000
 
 
 @dataclass(frozen=True)
@@ -105,18 +109,18 @@ class BlobLedger:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         versions = [r.version for r in rules]
-        known = self.rows().where(F.col("rule").isin(versions))
-        blobs = addressed.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text"))
-        if known.isEmpty():
-            lacking = blobs.withColumn("have", F.array().cast("array<string>"))
+        have = self.rows().where(F.col("rule").isin(versions)).groupBy(F.col("blob").alias("b")).agg(F.collect_set("rule").alias("have"))
+        blobs = addressed.groupBy("blob").agg(F.count("*").alias("copies")).join(have, F.col("blob") == F.col("b"), "left")
+        keys = blobs.select(F.col("blob").alias("b"), "copies", F.coalesce("have", F.array().cast("array<string>")).alias("have"))
+        keys = materialise(keys.where(F.size("have") < len(set(versions))), "lacking")
+        same = F.col("blob") == F.col("b")
+        if keys.count() <= BROADCAST_BLOBS:
+            some = addressed.join(F.broadcast(keys), same)
+            again = some.where("copies > 1").groupBy("blob").agg(F.first("text").alias("text"), F.first("have").alias("have"))
+            lacking = some.where("copies = 1").select("blob", "text", "have").unionByName(again)
         else:
-            have = known.groupBy(F.col("blob").alias("b")).agg(F.collect_set("rule").alias("have"))
-            complete = have.where(F.size("have") >= len(set(versions))).select("b")
-            some = addressed.join(complete, F.col("blob") == F.col("b"), "left_anti")
-            some = some.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text"))
-            lacking = some.join(have, F.col("blob") == F.col("b"), "left").select(
-                "blob", "text", F.coalesce("have", F.array().cast("array<string>")).alias("have")
-            )
+            texts = addressed.groupBy("blob").agg(F.first("text").alias("text"))
+            lacking = texts.join(keys, same).select("blob", "text", "have")
         out = self.spark.createDataFrame([], _LEDGER).schema
 
         def scan(batches):
@@ -134,6 +138,19 @@ class BlobLedger:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema)], schema=schema)
 
         lacking.mapInArrow(scan, out).write.mode("append").parquet(self.path)
+        discard(keys)
+
+
+def _addressed(docs: DataFrame, text_col: str):
+    """The address of a row's text, and the text."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return F.unhex(F.sha2(text, 256)), text
+
+
+def record(docs: DataFrame, ledger: str, text_col: str = "text", rules: Sequence[Rule] = RULES) -> None:
+    """Scan what the ledger lacks of docs, a version of the texts, and return nothing."""
+    address, text = _addressed(docs, text_col)
+    BlobLedger(docs.sparkSession, ledger).update(docs.select(address.alias("blob"), text.alias("text")), rules)
 
 
 def scan_secrets(
@@ -146,8 +163,7 @@ def scan_secrets(
     """
     spark = docs.sparkSession
     book = BlobLedger(spark, ledger or scratch_path(spark, "ledger"))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    address = F.unhex(F.sha2(text, 256))
+    address, text = _addressed(docs, text_col)
     book.update(docs.select(address.alias("blob"), text.alias("text")), rules)
     place = F.create_map(*(x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))))
     found = (

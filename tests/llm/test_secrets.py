@@ -80,3 +80,36 @@ def test_odd_rows(spark):
     assert len(got) == 5 and all(r.blob == hashlib.sha256((dict([(None, None), (1, ""), (2, secret), (3, secret)])[r.doc_id] or "").encode()).hexdigest() for r in got)
     assert all([tuple(s) for s in r.secret_spans] == (secrets.find(secret) if r.doc_id in (2, 3) else []) for r in got)
     assert secrets.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_query_scans_each_blob_once(spark, sf, monkeypatch):
+    """The second version of the corpus brings only what the first didn't hold."""
+    from parqlane.llm import queries
+
+    sizes, update = [], secrets.BlobLedger.update
+
+    def counted(self, addressed, rules):
+        update(self, addressed, rules)
+        sizes.append(self.rows().count())
+
+    monkeypatch.setattr(secrets.BlobLedger, "update", counted)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in queries.QUERIES["op10_secret_scan"](spark, sf).collect()}
+    blobs = len({hashlib.sha256((r.text or "").encode()).digest() for r in docs})
+    assert 0 < sizes[0] < sizes[1] == blobs * len(secrets.RULES)
+    for r in docs:
+        spans = secrets.find(r.text)
+        say = lambda some: ",".join(f"{k}:{s}:{e}" for k, s, e in some)
+        own = got[r.doc_id]
+        assert own.spans == say(spans) and own.base_sha256 == hashlib.sha256(say(plain_base(r.text or "")).encode()).hexdigest()
+        assert (own.n_assign, own.n_access, own.n_hex) == tuple(sum(k == kind for k, _, _ in spans) for kind in KINDS)
+
+
+def test_ledger_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", 0)
+    texts = ["token = abcdef1234", "x", "x", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = scratch_path(spark, "test-ledger")
+    secrets.record(df.limit(2), path)
+    assert rows_of(secrets.scan_secrets(df, ledger=path)) == {k: secrets.find(t) for k, t in enumerate(texts)}
+    assert secrets.BlobLedger(spark, path).rows().count() == 3 * len(secrets.RULES)
