@@ -81,6 +81,32 @@ def test_embeddings(spark, sf):
     check(spark, df, rows, 0.95, shard_rows=130, query_rows=9, rerank=40)
 
 
+def test_query_against_brute_force(spark, sf):
+    from parqlane.llm import queries
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got = queries.QUERIES["op2_anisotropic_search"](spark, sf)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.dtypes[1:] == [("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    assert recall(as_lists(got), brute(rows)) >= 0.95
+
+
+def test_probing_few_cells_of_clusters(spark):
+    rng = np.random.default_rng(3)
+    centres = 3 * rng.normal(size=(60, 24))
+    x = (centres[rng.integers(0, 60, 3000)] + 0.5 * rng.normal(size=(3000, 24))).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    check(spark, spark.createDataFrame([(i, v, None) for i, v in rows], SCHEMA), rows, 0.9, probe=0.25)
+
+
+def test_large_components(spark):
+    """Products beyond single precision."""
+    rng = np.random.default_rng(4)
+    x = (1e25 * rng.normal(size=(300, 8))).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = as_lists(anisotropic.nearest(spark.createDataFrame([(i, v, None) for i, v in rows], SCHEMA), F.col("vec_id") % 20 == 0))
+    assert recall(got, brute(rows)) >= 0.95
+
+
 def test_larger_sample_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
