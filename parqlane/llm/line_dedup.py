@@ -12,13 +12,17 @@ last, then text hash and line number) and loses all others, exact and near.
 
 Scale: a task emits each line's keys once, so a line that stands in a third of all documents gives
 one row a task; only keys with two different lines go on, and only their lines' texts are fetched.
-A key with more than ``CHUNK`` lines is dealt into chunks whose pairs are separate groups, and the
-lines of a group are walked breadth first: n lines give fewer than n links. Ids of lines are 64-bit
-hashes of their text (a chance of n^2 / 2^65 that two of n lines share one).
-
-Defined cases: null text has no lines and stays null; rows that agree in id and text count as one
-document and share its fate; shorter lines stay; a document may become empty; an empty table gives
-an empty table; columns named like an output are replaced.
+A key with more than ``CHUNK`` lines is split further by bags of characters: an edit changes two of
+32 classes' counts at most, so of 2t + 1 parts of the classes one has the same counts in both lines of
+a near pair, and each part's counts make a key of their own. What is still larger is dealt into chunks
+whose pairs are separate groups. The lines of a group are walked breadth first: n lines give fewer
+than n links. Ids of lines are 64-bit hashes of their text (a chance of n^2 / 2^65 that two of n lines
+share one).
+
+Defined cases: null text has no lines and stays null; of rows that agree in id the order of text and
+row hashes decides which is first; a row that repeats another in every column loses all its lines that
+take part; shorter lines stay; a document may become empty; an empty table gives an empty table;
+columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -138,6 +142,30 @@ def _bags(texts: list[str]) -> np.ndarray:
     return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 31, minlength=32) for t in texts])
 
 
+def bag_keys(text: str, most: int) -> list[bytes]:
+    """What two texts within ``most`` edits have one of in common: the counts of a part of the classes."""
+    counts, n = _bags([text])[0].astype("<i4"), 2 * most + 1
+    return [bytes([k]) + counts[k * 32 // n : (k + 1) * 32 // n].tobytes() for k in range(n)]
+
+
+def _split_by_bags(most: int):
+    """Batches of (key, line, text) to (key, line) under finer keys."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, lines = [], []
+            for key, line, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own = [xxhash.xxh64_intdigest(k, key & 0xFFFFFFFFFFFFFFFF) for k in bag_keys(text, most)]
+                keys += own
+                lines += [line] * len(own)
+            made = pa.array(np.array(keys, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([made, pa.array(lines, pa.int64())], names=["key", "line"])
+
+    return run
+
+
 def walk(texts: list[str], most: int) -> list[tuple[int, int]]:
     """Links (positions) of a spanning forest of the texts within ``most`` edits of each other.
 
@@ -205,6 +233,12 @@ def line_links(docs: DataFrame, text_col: str = "text", most: int = THRESHOLD, l
         wanted = F.broadcast(wanted)
     held = _lines(docs, text_col, least).join(wanted, F.col("line") == F.col("w"), "left_semi")
     held = held.groupBy(F.col("line").alias("t")).agg(F.first("text").alias("text"))
+    heavy = materialise(members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > chunk), "heavy")
+    if many := heavy.count():
+        small = F.broadcast(heavy) if many <= BROADCAST_ROWS else heavy
+        dense = members.join(small, F.col("key") == F.col("k")).join(held, F.col("line") == F.col("t")).select("key", "line", "text")
+        finer = dense.mapInArrow(_split_by_bags(most), "key long, line long")
+        members = materialise(members.join(small, F.col("key") == F.col("k"), "left_anti").unionByName(finer), "finer")
     chunks = members.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("line"), F.col("chunks")).cast("int")
     groups = (
@@ -230,32 +264,42 @@ def dedup_lines(
     added = ("n_lines", "n_dropped", "kept_text", "kept_in")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     rows = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("full"))
-    rows = rows.withColumn("h", F.xxhash64(F.col("full")))
+    hashed = [c for c, kind in rows.dtypes if "map<" not in kind]  # maps have no order, and so no hash
+    rows = rows.withColumns({"h": F.xxhash64(F.lit(SEED), *hashed), "g": F.xxhash64(F.lit(SEED + 1), *hashed)})
     least_used = max(least, most + 1)
-    place = materialise(_lines(rows, "full", least_used, "id", "h").select("line", "id", "h", "pos"), "lines")
+    place = _lines(rows, "full", least_used, "id", F.xxhash64("full").alias("th"), "h", "g")
+    place = materialise(place.select("line", "id", "th", "h", "g", "pos"), "lines")
     links = line_links(rows, "full", most, least, chunk)
-    classes = connected_components(links, "a", "b")
+    # What is joined is written first, so that Spark can split the rows of a very common line or class.
+    classes = materialise(connected_components(links, "a", "b"), "classes")
     named = place.join(classes, F.col("line") == F.col("node"), "left").select(
-        F.coalesce("root", "line").alias("cls"), "id", "h", "pos"
+        F.coalesce("root", "line").alias("cls"), "id", "th", "h", "g", "pos"
     )
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "pos")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "h", "g", "pos")
     firsts = named.groupBy("cls").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select(F.col("cls").alias("c"), "first")
+    firsts = materialise(firsts.select(F.col("cls").alias("c"), "first"), "firsts")
     dropped = (
         named.join(firsts, F.col("cls") == F.col("c"))
         .where(order != F.col("first"))
-        .groupBy(F.col("id").alias("d_id"), F.col("h").alias("d_h"))
+        .groupBy(F.col("h").alias("d_h"), F.col("g").alias("d_g"))
         .agg(F.collect_set("pos").alias("gone"), F.array_sort(F.collect_set("first.id")).alias("kept_in"))
     )
-    out = rows.join(dropped, (F.col("h") == F.col("d_h")) & F.col("id").eqNullSafe(F.col("d_id")), "left")
-    lines = F.split("full", "\n")
+    # Rows that agree in every column meet before their texts move; all but one of them are copies.
+    own = [f"k{i}" for i in range(len(keep))]
+    once = rows.groupBy("h", "g").agg(*(F.first(c).alias(c) for c in (*own, "id", "full")), F.count("*").alias("copies"))
+    out = once.join(dropped, (F.col("h") == F.col("d_h")) & (F.col("g") == F.col("d_g")), "left")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    lines, none = F.split("full", "\n"), F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")
+    every = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.length(F.btrim(F.get(lines, i), F.lit(BLANKS))) >= least_used)
+    copied = (F.col("copy") > 1) & F.col("full").isNotNull()
+    out = out.withColumns({"gone": F.when(copied, every).otherwise(F.col("gone")), "kept_in": F.when(copied, F.when(F.size(every) > 0, F.array_compact(F.array("id"))).otherwise(none)).otherwise(F.col("kept_in"))})
     kept = F.when(F.col("gone").isNull(), F.col("full")).otherwise(
         F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     )
     return out.select(
-        *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)),
+        *(F.col(c).alias(name) for c, name in zip(own, keep)),
         F.when(F.col("full").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
         kept.alias("kept_text"),
-        F.coalesce("kept_in", F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")).alias("kept_in"),
+        F.coalesce("kept_in", none).alias("kept_in"),
     )

@@ -88,7 +88,17 @@ def plain_dedup(rows, most, least):
         dropped = gone.get(d, set())
         kept = None if d[1] is None else "\n".join(x for p, x in enumerate(lines) if p not in dropped)
         out[d] = (len(lines), len(dropped), kept, sorted(held.get(d, ())))
-    return [out[r] for r in rows]
+    seen, found = set(), []
+    for r in rows:
+        if r in seen and r[1] is not None:  # a copy of the whole row loses every line that takes part
+            lines = r[1].split("\n")
+            kept = [x for x in lines if len(x.strip(" \t\n\r\x0b\x0c")) < least]
+            lost = len(lines) - len(kept)
+            found.append((len(lines), lost, "\n".join(kept), [r[0]] if lost and r[0] is not None else []))
+        else:
+            found.append(out[r])
+        seen.add(r)
+    return found
 
 
 def check(spark, rows, **options):
@@ -119,6 +129,31 @@ def test_against_brute_force(spark):
     check(spark, rows, most=1, least=5)
 
 
+def test_bags_of_near_lines_share_a_key():
+    rng = random.Random(3)
+    for _ in range(500):
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz é0123") for _ in range(rng.randrange(22, 60)))
+        most = rng.choice([1, 2, 3])
+        b = edited(rng, a, rng.randrange(most + 1))
+        assert set(line_dedup.bag_keys(a, most)) & set(line_dedup.bag_keys(b, most))
+
+
+def test_query_against_brute_force(spark, sf, tmp_path):
+    """The registered query over a whole table of a few documents."""
+    import hashlib
+
+    from parqlane.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    docs = docs.union(docs.limit(2)).coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
+    digest = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+    want = sorted(repr((d, n, gone, digest(kept), held)) for (d, _), (n, gone, kept, held) in zip(rows, plain_dedup(rows, 2, 20)))
+    got = queries.QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()
+    assert sorted(repr((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256, list(r.kept_in))) for r in got) == want
+
+
 def test_odd_rows(spark):
     line = "the very same line of more than twenty characters"
     rows = [(None, None), (None, line), (5, line + "\n" + line), (5, line + "\n" + line), (5, "x" + line), (3, ""), (3, "\n\n"), (9, (line + "\n") * 3000 + "end")]
