@@ -22,14 +22,14 @@ def _state(links: DataFrame):
 LINKS_PER_FILE = 500_000
 
 
-def _with_minimum(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _with_minimum(links: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
     """u, v, m, where m is the least of u and all its v; and what is to be discarded after use.
 
     The minima are written, so that the join stands on shuffles alone: Spark can split a node with a
     large part of all links.
     """
     least = links.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("w"), F.least("u", "least").alias("m"))
-    least = materialise(least, "least")
+    least = materialise(least.coalesce(files), "least")
     return links.join(least, F.col("u") == F.col("w")).select("u", "v", "m"), least
 
 
@@ -47,14 +47,15 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     )
     state = _state(now)
     while state[0]:
+        files = 1 + 2 * state[0] // LINKS_PER_FILE
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large, held = _with_minimum(both)
+        large, held = _with_minimum(both, files)
         large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.where("u != v").distinct(), "links")
-        small, least = _with_minimum(large)
+        large = materialise(large.where("u != v").distinct().coalesce(files), "links")
+        small, least = _with_minimum(large, files)
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct()
-        after = materialise(small.coalesce(1 + 2 * state[0] // LINKS_PER_FILE), "links")
+        after = materialise(small.coalesce(files), "links")
         for done in (held, large, least):
             discard(done)
         discard(now)

@@ -430,18 +430,20 @@ def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     holders, ends = owner[np.argsort(token, kind="stable")], np.cumsum(np.bincount(token))
     own = np.split(token, np.cumsum(sizes)[:-1])
-    rest, out = np.ones(m, bool), []
+    rest, left, out = np.ones(m, bool), m, []
     for first in range(m):
         todo = [first] if rest[first] else []
+        left -= len(todo)
         rest[first] = False
-        while todo:
+        while todo and left:
             one = todo.pop()
             near = [holders[ends[t - 1] if t else 0 : ends[t]] for t in own[one].tolist()]
             if not near:
                 continue
-            met, common = np.unique(np.concatenate(near), return_counts=True)
-            good = met[rest[met] & (common >= similarity * (sizes[met] + sizes[one] - common))].tolist()
+            common = np.bincount(np.concatenate(near), minlength=m)
+            good = np.flatnonzero(rest & (common > 0) & (common >= similarity * (sizes + sizes[one] - common))).tolist()
             rest[good] = False
+            left -= len(good)
             todo += good
             out += [(one, k) for k in good]
     return out
