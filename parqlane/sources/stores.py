@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Scratch paths of this driver, in order; what discard_since() deletes is taken out.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/parqlane/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/parqlane/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def mark() -> int:
+    """A place in the list of scratch paths, for discard_since()."""
+    return len(_made)
+
+
+def discard_since(spark: SparkSession, place: int, keep: DataFrame) -> None:
+    """Delete what was written below the shared folder since mark(), but for what materialise() wrote for ``keep``."""
+    for path in _made[place:]:
+        if path != keep._scratch:
+            file_system(spark, path)[0].delete(hadoop_path(spark, path), True)
+    _made[place:] = [keep._scratch]
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
