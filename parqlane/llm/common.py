@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parqlane.sources.stores import discard, file_system, hadoop_path, materialise, scratch_path, shared_dir  # noqa: F401
+from parqlane.plans.scan import unused  # noqa: F401
+from parqlane.sources.stores import discard, discard_since, file_system, hadoop_path, mark, materialise, scratch_path, shared_dir  # noqa: F401
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

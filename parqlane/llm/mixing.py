@@ -213,23 +213,26 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str | No
     A partial copy's text is the taken words joined by single spaces; documents without words give
     no row. ``chars_col``, where docs has it, is set to the length of the text.
     """
-    mixed = mix(docs, text_col=text_col, prefix="__mix_", **options)
+    free = "__mix_"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free = f"_{free}"
+    mixed = mix(docs, text_col=text_col, prefix=free, **options)
     words = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(WORD), F.lit(0))
-    pieces = F.transform("__mix_parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))
+    pieces = F.transform(f"{free}parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))
     part = F.when(
-        F.col("__mix_taken") > F.col("__mix_passes") * F.col("__mix_size"),
+        F.col(f"{free}taken") > F.col(f"{free}passes") * F.col(f"{free}size"),
         F.array(F.array_join(F.flatten(pieces), " ")),
     ).otherwise(F.array().cast("array<string>"))
-    whole = F.when(F.col("__mix_size") > 0, F.array_repeat(F.col(f"`{text_col}`"), F.col("__mix_passes").cast("int"))).otherwise(
+    whole = F.when(F.col(f"{free}size") > 0, F.array_repeat(F.col(f"`{text_col}`"), F.col(f"{free}passes").cast("int"))).otherwise(
         F.array().cast("array<string>")
     )
-    out = mixed.withColumn("__mix_text", F.explode(F.concat(whole, part)))
+    out = mixed.withColumn(f"{free}text", F.explode(F.concat(whole, part)))
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(F.col("__mix_text").alias(c))
+            columns.append(F.col(f"{free}text").alias(c))
         elif c == chars_col:
-            columns.append(F.length("__mix_text").cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.length(f"{free}text").cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))
     return out.select(*columns)

@@ -1,0 +1,129 @@
+"""The registered queries against brute force over a whole table (op2, op5, op9 and op10: beside their operators)."""
+
+import base64
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from test_gif import plain_row
+from test_mixing import plain_targets
+from test_simhash import plain_components, plain_fingerprint
+from tokenizers import Tokenizer
+
+from parqlane.llm import bpe, gam, gif, mixing
+from parqlane.llm.queries import QUERIES
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def found(spark, sf, name, n):
+    rows = QUERIES[name](spark, sf).collect()
+    assert len(rows) == n
+    return {r.doc_id: r for r in rows}
+
+
+def test_mix(spark, sf, docs):
+    got = found(spark, sf, "op1_mix_sources", len(docs))
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for d, r in docs.items()}
+    names = sorted({r.source for r in docs.values()}, key=lambda n: (n is None, n or ""))
+    whole = [sum(size[d] for d, r in docs.items() if r.source == n) for n in names]
+    targets = dict(zip(names, plain_targets(whole, [i % 3 + 1 for i in range(len(names))], mixing.CAP)))
+    for d, r in got.items():
+        own = docs[d].source
+        assert (r.size, r.source_size) == (size[d], whole[names.index(own)]) and r.target == pytest.approx(float(targets[own]))
+        assert 0 <= r.taken <= 3 * r.size
+    for n in names:
+        assert sum(r.taken for d, r in got.items() if docs[d].source == n) == pytest.approx(float(targets[n]), rel=0.01, abs=1)
+    again = found(spark, sf, "op1_mix_sources", len(docs))
+    assert {d: r.taken for d, r in again.items()} == {d: r.taken for d, r in got.items()}
+
+
+def test_many_shards_in_groups(spark, docs, monkeypatch):
+    """Quotas through groups of shards still add up to each source's."""
+    df = spark.createDataFrame([(d, r.text, r.source) for d, r in docs.items()], "doc_id long, text string, source string")
+    one = {r.source: r for r in mixing.mix(df).groupBy("source").agg({"mix_taken": "sum", "mix_target": "max"}).collect()}
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
+    many = {r.source: r for r in mixing.mix(df, shard_words=400).groupBy("source").agg({"mix_taken": "sum", "mix_target": "max"}).collect()}
+    for n, r in many.items():
+        assert r["sum(mix_taken)"] == pytest.approx(r["max(mix_target)"], rel=0.05) and r["max(mix_target)"] == one[n]["max(mix_target)"]
+
+
+def test_token_counts(spark, sf, docs):
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for d, r in found(spark, sf, "op3_token_counts", len(docs)).items():
+        text = docs[d].text or ""
+        n = len(tok.encode(text, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 512)
+        counts = bpe.counts_of(r.prefix_steps)
+        assert len(counts) == len(text) + 1 and counts[-1] == n
+        k = len(text) // 3
+        assert counts[k] == len(tok.encode(text[:k], add_special_tokens=False).ids)
+
+
+def test_byte_bpe(spark, sf, docs):
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    tik = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    for d, r in found(spark, sf, "op4_byte_bpe", len(docs)).items():
+        ids = tik.encode_ordinary(docs[d].text or "")
+        said = (len(ids), digest(" ".join(map(str, ids)).encode()), digest((docs[d].text or "").encode()))
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == said
+
+
+def test_quality(spark, sf, docs):
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    outside = lambda d: zlib.crc32(str(d).encode()) % 5 != 0
+    used = [(d, y) for d, y in labels if y in (0, 1) and d in docs and outside(d)]
+    x = np.array([gam.features(docs[d].text) for d, _ in used])
+    model = gam.fit(x, np.array([y for _, y in used], float))
+    got = found(spark, sf, "op6_quality", len(docs))
+    for d, r in got.items():
+        assert r.held_out == (not outside(d)) and r.predicted == int(r.score >= 0.3)
+        assert r.score == pytest.approx(float(model.score(np.array([gam.features(docs[d].text)]))[0]), abs=1e-6)
+
+
+def test_media(spark, sf, docs):
+    got = found(spark, sf, "op7_gif_media", len(docs))
+    for d, r in got.items():
+        media = gif.store(gif.payload_of(docs[d].text)[0])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == plain_row(docs[d].text)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature.startswith(f"frames={len(r.frames)};ms={100 * len(r.frames)};") and all(len(f.histogram) == 64 for f in r.frames)
+
+
+def test_simhash(spark, sf, docs):
+    ids = sorted(docs)
+    prints = [plain_fingerprint(docs[d].text) for d in ids]
+    roots = plain_components(prints, 4)
+    want = {d: (f"{p:016x}", ids[r]) for d, p, r in zip(ids, prints, roots)}
+    assert {d: (r.fingerprint, r.component_id) for d, r in found(spark, sf, "op8_simhash", len(docs)).items()} == want
+
+
+def test_cuts_of_trees_against_every_cut():
+    rng = np.random.default_rng(5)
+    gain = lambda parts: sum(a.sum() ** 2 / (b.sum() + 1.0) for a, b in parts)
+    for _ in range(60):
+        n = int(rng.integers(2, 12))
+        g, h = rng.normal(size=n), rng.random(n) * 4
+        every = [(gain([(g[:k], h[:k]), (g[k:], h[k:])]) - gain([(g, h)]), k) for k in range(1, n) if h[:k].sum() >= 2 and h[k:].sum() >= 2]
+        best, at = gam._best_cut(g, h, 1.0, 2.0)
+        most = max([x for x, _ in every], default=0.0)
+        assert best == pytest.approx(max(most, 0.0), abs=1e-9) and (not at or most == pytest.approx(dict((k, x) for x, k in every)[at]))
+        grid, hess = rng.normal(size=(n, 5)), rng.random((n, 5)) * 4
+        quarters = lambda x, i, j: [x[:i, :j], x[:i, j:], x[i:, :j], x[i:, j:]]
+        all_cuts = [
+            gain(list(zip(quarters(grid, i, j), quarters(hess, i, j)))) - gain([(grid, hess)])
+            for i in range(1, n) for j in range(1, 5) if min(q.sum() for q in quarters(hess, i, j)) >= 2
+        ]
+        got, entries = gam._cross(grid, hess, 1.0, 2.0)
+        assert got == pytest.approx(max([0.0, *all_cuts]), abs=1e-9) and len(np.unique(entries)) <= 4
+        leaves = gam._tree(g, h, 1.0, 2.0)
+        assert len(np.unique(np.round(leaves, 12))) <= 4
