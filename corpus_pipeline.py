@@ -16,8 +16,9 @@ from parqlane.llm import bpe, common, gam, line_dedup, mixing, simhash
 def quality(spark, docs, sf_dir):
     """Documents whose score is below the threshold go; null texts are scored like empty ones."""
     model = gam.train(docs, common.read(spark, sf_dir, "labels", "doc_id", "quality"))
-    scored = gam.score_quality(docs, model, name="__score")
-    return scored.where(F.col("__score") >= gam.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = common.unused("score", docs.columns)
+    scored = gam.score_quality(docs, model, name=name)
+    return scored.where(F.col(name) >= gam.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def dedup_lines(spark, docs, sf_dir):
@@ -28,7 +29,7 @@ def dedup_lines(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group stays: five-word shingles, estimated similarity of 0.8 or more."""
+    """One document of each group stays: five-word shingles, Jaccard similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 
@@ -56,9 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = common.read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.materialise(docs, f"stage{k}")
-    return docs
+    """The last stage's rows. A stage's input and scratch tables go once its own output is written."""
+    docs, place = common.read(spark, sf_dir, "documents"), common.mark()
+    for _, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), "stage")
+        common.discard_since(spark, place, keep=docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
