@@ -50,8 +50,8 @@ SEGMENT_BITS, SEGMENTS = 2, 32
 BROADCAST_CELLS = 10_000
 #: Candidates for a heavy cell's leader.
 CANDIDATES = 16
-#: Fixed: shingles hashed at once.
-_BLOCK = 1 << 15
+#: Fixed: hashes whose bits are counted at once, as many as a byte can count.
+_BLOCK = 255
 #: Costs in the same unit, measured: a point in a cell, and a comparison.
 _POINT_COST, _PAIR_COST = 5.0, 0.005
 #: Fixed: the low bits of all segments; odd factors and shifts that mix a hash (any good ones would do).
@@ -76,18 +76,18 @@ def hashes_of(made: list[bytes], seed: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, made, repeat(seed)), np.uint64, len(made))
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits that are set in over half of the hashes, as a signed 64-bit number."""
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), _BLOCK):
-        part = np.ascontiguousarray(hashes[k : k + _BLOCK], "<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
+def majority(hashes: np.ndarray) -> list[int]:
+    """For each row of hashes the bits that are set in over half of it, as a signed 64-bit number."""
+    lanes, n = hashes.shape
+    ones, raw = np.zeros((lanes, 64), np.int64), np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(lanes, n, 8)
+    for k in range(0, n, _BLOCK):
+        ones += np.add.reduce(np.unpackbits(raw[:, k : k + _BLOCK], axis=2, bitorder="little"), axis=1, dtype=np.uint8)
+    return np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """The fingerprint of the text's shingles, repeats included, as a signed 64-bit number."""
-    return majority(hashes_of(shingles(text, words), seed))
+    return majority(hashes_of(shingles(text, words), seed)[None, :])[0]
 
 
 def fingerprints(docs: DataFrame, text_col="text", keep=None, words=WORDS, seed=SEED, name="fingerprint") -> DataFrame:
@@ -397,12 +397,7 @@ def lanes_of(hashes: np.ndarray, lanes: int) -> list[int]:
     x = hashes[None, :] + (np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
     for shift, factor in _MIX:
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    x ^= x >> np.uint64(31)
-    ones = np.zeros((lanes, 64), np.int64)
-    for k in range(0, len(hashes), _BLOCK):
-        part = np.ascontiguousarray(x[:, k : k + _BLOCK], "<u8").view(np.uint8).reshape(lanes, -1, 8)
-        ones += np.unpackbits(part, axis=2, bitorder="little").sum(1, dtype=np.int64)
-    return np.packbits((2 * ones > len(hashes)).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+    return majority(x ^ (x >> np.uint64(31)))
 
 
 def _set_prints(words: int, seed: int, lanes: int):
