@@ -49,17 +49,21 @@ class ReadSpec:
         return C.project(kept, self.needed() if self.keep_predicate_columns else self.columns)
 
 
-def scan(spark: SparkSession, path: str, spec: ReadSpec | None = None, row_groups: Iterable[int] | None = None) -> DataFrame:
+def scan(
+    spark: SparkSession, path: str, spec: ReadSpec | None = None, row_groups: Iterable[int] | None = None, check_encodings: bool = True
+) -> DataFrame:
     """Rows of the Parquet files below ``path``.
 
     Only the pruned schema is asked of the files, nested leaves included. ``row_groups``: places of
     row groups in their files; others' rows are left out by their row index. Files that Spark's
-    vectorised reader gets wrong are refused while it is on (``needs_row_reader``).
+    vectorised reader gets wrong are refused while it is on (``needs_row_reader``); with very many files
+    whose writer is known, check_encodings=False saves that look at all footers.
     """
     spec = spec or ReadSpec()
     there = spark.read.parquet(path)
     schema = there.schema
-    if spark.conf.get("spark.sql.parquet.enableVectorizedReader") == "true" and needs_row_reader(spark, path, there.inputFiles()):
+    listed = there._jdf.inputFiles() if check_encodings and spark.conf.get("spark.sql.parquet.enableVectorizedReader") == "true" else None
+    if listed is not None and needs_row_reader(spark, path, list(listed) if len(listed) <= FEW_FILES else None):
         raise UnsafeEncoding(f"set spark.sql.parquet.enableVectorizedReader to false to read {path}: its encodings need the row reader")
     df = spark.read.schema(spec.read_schema(schema)).parquet(path)
     if row_groups is not None:
@@ -80,9 +84,9 @@ def needs_row_reader(spark: SparkSession, path: str, files: list[str] | None = N
 
     It misreads delta-encoded strings in uncompressed pages and refuses split byte streams; with
     spark.sql.parquet.enableVectorizedReader=false both are read right. files: what ``path`` holds,
-    if that is known.
+    if that is known and little; the driver then reads the footers, otherwise a job does.
     """
-    if files is not None and len(files) <= FEW_FILES:
+    if files is not None:
         return any(_unsafe(CODECS[c.meta[4]], [ENCODINGS.get(e, str(e)) for e in c.meta[2]]) for f in files for _, _, own in groups_of(read_footer(driver_ranges(spark, f))) for c in own)
     uncompressed = (F.col("codec") == "UNCOMPRESSED") & F.array_contains("encodings", "DELTA_BYTE_ARRAY")
     found = chunks(spark, path).where(uncompressed | F.array_contains("encodings", "BYTE_STREAM_SPLIT"))
