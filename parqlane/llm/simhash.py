@@ -232,8 +232,22 @@ def cell_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
 _SMALL = 64
 
 
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the links between n positions join what the links before them don't: fewer than n."""
+    own, kept = list(range(n)), []
+    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        while own[a] != a:
+            own[a] = a = own[own[a]]
+        while own[b] != b:
+            own[b] = b = own[own[b]]
+        if a != b:
+            own[b] = a
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
 def links_of_rows(cells: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) within the cells of rows that come by cell."""
+    """Links (positions) of a spanning forest within the cells of rows that come by cell."""
     start = np.concatenate(([0], np.flatnonzero(np.diff(cells)) + 1)) if len(cells) else np.empty(0, np.int64)
     size = np.diff(np.append(start, len(cells)))
     left, right, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], embedded(points)
@@ -250,7 +264,9 @@ def links_of_rows(cells: np.ndarray, points: np.ndarray, radius: int) -> tuple[n
         i, j = cell_links(points[s : s + n], radius)
         left.append(i + s)
         right.append(j + s)
-    return np.concatenate(left), np.concatenate(right)
+    left, right = np.concatenate(left), np.concatenate(right)
+    kept = forest(len(cells), left, right)
+    return left[kept], right[kept]
 
 
 def _links_of_cells(radius: int, lanes: int):
