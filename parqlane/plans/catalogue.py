@@ -17,7 +17,7 @@ from parqlane.operators import presence
 from parqlane.plans.files import ParquetFiles
 from parqlane.plans.scan import ReadSpec, scan
 from parqlane.sources import footer, ranges, schemas, sink
-from parqlane.sources.stores import scratch_path
+from parqlane.sources.stores import file_system, scratch_path
 from parqlane.streaming import scan as streaming
 
 TABLES = (
@@ -231,12 +231,24 @@ def _written(spark, sf_dir, table, change=lambda df: df, files=1, **options):
     return path
 
 
+#: Bytes of a table that one task may write again; rows a file has at most, so that its footer stays small however small row groups are.
+TASK_BYTES, FILE_ROWS = 1 << 25, 1 << 20
+
+
+def _in_files(spark, sf_dir, table, files=1):
+    """The table in so many partitions; in those of its scan, where they would be larger than TASK_BYTES."""
+    path = f"{sf_dir}/{table}.parquet"
+    system, there = file_system(spark, path)
+    df = spark.read.parquet(path)
+    return df if system.getContentSummary(there).getLength() > files * TASK_BYTES else df.coalesce(files)
+
+
 def _two_unequal_files(spark, sf_dir):
-    """Orders as two files, of one row group and of several."""
+    """Orders as two files, of one row group and of several; as more files of both kinds, where orders are many."""
     path = scratch_path(spark, "orders")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    sink.write(orders.where("o_orderkey % 10 = 0").coalesce(1), path)
-    sink.write(orders.where("o_orderkey % 10 != 0").coalesce(1), path, row_group_bytes=1 << 14, mode="append")
+    orders = _in_files(spark, sf_dir, "orders")
+    sink.write(orders.where("o_orderkey % 10 = 0"), path, file_rows=FILE_ROWS)
+    sink.write(orders.where("o_orderkey % 10 != 0"), path, row_group_bytes=1 << 14, mode="append", file_rows=FILE_ROWS)
     return path
 
 

@@ -1,4 +1,4 @@
-"""Writing Parquet: codec, page version, dictionary, bloom filters and row-group size."""
+"""Writing Parquet: codec, page version, dictionary, bloom filters, row-group size and rows a file."""
 
 from __future__ import annotations
 
@@ -21,8 +21,9 @@ def register_codec(name: str, spark_name: str) -> None:
 
 def write(
     df: DataFrame, path: str, codec: str = "SNAPPY", version: int = 1, dictionary: bool = True, bloom: Sequence[str] = (),
-    row_group_bytes: int | None = None, mode: str = "errorifexists",
+    row_group_bytes: int | None = None, mode: str = "errorifexists", file_rows: int | None = None,
 ) -> None:
+    """file_rows: rows a file has at most; a task with more writes several."""
     if codec.upper() not in CODECS:
         raise ValueError(f"unknown codec {codec}")
     writer = df.write.mode(mode).option("compression", CODECS[codec.upper()])
@@ -31,6 +32,8 @@ def write(
         writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
     if row_group_bytes:
         writer = writer.option("parquet.block.size", str(row_group_bytes))
+    if file_rows:
+        writer = writer.option("maxRecordsPerFile", str(file_rows))
     writer.parquet(path)
 
 

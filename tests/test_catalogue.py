@@ -5,8 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from parqlane.plans import catalogue
+from parqlane.sources import footer
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +38,17 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in plan
 
 
+def test_files_grow_in_number_with_the_table(spark, sf, duck, monkeypatch):
+    """No file takes a whole large table, or has a footer of all its row groups."""
+    monkeypatch.setattr(catalogue, "FILE_ROWS", 700)
+    found = footer.chunks(spark, catalogue._two_unequal_files(spark, sf)).where("column_index = 0").groupBy("file")
+    files = found.agg(F.sum("group_rows"), F.count("*")).drop("file").collect()
+    assert sum(n for n, _ in files) == duck.execute("SELECT count(*) FROM orders").fetchone()[0] and max(n for n, _ in files) <= 700
+    assert min(g for _, g in files) == 1 and max(g for _, g in files) > 1
+    got = catalogue.QUERIES["row_group_scope"](spark, sf).agg(F.count("*"), F.count_distinct("o_orderkey")).first()
+    assert tuple(got) == duck.execute("SELECT count(*), count(DISTINCT o_orderkey) FROM orders").fetchone()
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 

@@ -262,6 +262,47 @@ def test_row_groups_of_files_with_unequal_numbers(spark, tmp_path):
     assert scan(spark, str(where), row_groups=[0]).count() == 1500 and scan(spark, str(where), row_groups=[7]).count() == 0
 
 
+def _numbered(where, sizes):
+    """A file of row groups of these numbers of rows, in which a row has its group's place."""
+    schema = pa.schema([("id", pa.int64()), ("g", pa.int64())])
+    with pq.ParquetWriter(where, schema) as out:
+        for k, n in enumerate(sizes):
+            out.write_table(pa.table({"id": range(n), "g": [k] * n}, schema=schema), row_group_size=max(n, 1))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_rows_meet_row_groups_in_blocks(spark, tmp_path, monkeypatch, broadcast):
+    """Rows are dealt by file and block of rows, so none meets all groups of its file, though groups are unequal."""
+    from parqlane.plans import scan as S
+
+    if not broadcast:
+        monkeypatch.setattr(S, "BROADCAST_RUNS", 0)
+    where = tmp_path / "groups"
+    where.mkdir()
+    sizes = {"a": [1] * 150 + [5000] + [3] * 150, "b": [700, 0, 1, 2, 900, 1], "c": [10]}
+    for name, n in sizes.items():
+        _numbered(where / f"{name}.parquet", n)
+    for wanted in (range(0, 400, 2), [1, 2, 4], range(1, 301), [150], [0, 299]):
+        got = scan(spark, str(where), row_groups=wanted)
+        rows = got.groupBy("g").count().collect()
+        want = {k: sum(n[k] for n in sizes.values() if k < len(n)) for k in wanted}
+        assert {r.g: r["count"] for r in rows} == {k: n for k, n in want.items() if n}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin [file#" in plan) == broadcast
+        join = next(line for line in plan.splitlines() if "Join [" in line)
+        assert "part#" in join and "group_part#" in join
+
+
+def test_very_many_row_groups_of_one_file(spark, tmp_path):
+    """As a filter, each run of rows would be a condition."""
+    where = str(tmp_path / "many.parquet")
+    _numbered(where, [2] * 3000)
+    got = scan(spark, where, row_groups=range(0, 3000, 2)).agg(F.count("*"), F.count_distinct("g"), F.max(F.col("g") % 2)).first()
+    assert tuple(got) == (3000, 1500, 0)
+    filtered = scan(spark, where, row_groups=range(1, 3000))  # neighbours are one run
+    assert filtered.count() == 5998 and "Join" not in filtered._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream(spark, path):
     from parqlane.streaming.scan import stream
 

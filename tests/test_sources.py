@@ -264,6 +264,22 @@ def test_files_that_need_the_row_reader_are_refused(spark, tmp_path):
         spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
 
 
+def test_large_footers_are_read_by_a_job(spark, tmp_path, monkeypatch):
+    from parqlane.plans import scan as S
+
+    path = str(tmp_path / "t.parquet")
+    sink.write(spark.createDataFrame([("a",), ("ab",)], "s string").coalesce(1), path, "UNCOMPRESSED", 2, dictionary=False)
+    opened = []
+    monkeypatch.setattr(S, "read_footer", lambda source: opened.append(source) or footer.read_footer(source))
+    for most, on_driver in ((1 << 20, 1), (0, 1)):
+        monkeypatch.setattr(S, "FEW_BYTES", most)
+        with pytest.raises(UnsafeEncoding):
+            scan(spark, path)
+        assert len(opened) == on_driver
+    sink.write(spark.range(10).coalesce(1), f"{path}-ok", file_rows=4)
+    assert scan(spark, f"{path}-ok").count() == 10 and len(footer.files_of(spark, f"{path}-ok")) == 3
+
+
 def test_stores(spark, sf, tmp_path):
     """Executors open what has an opener; the driver reads any store that Spark reads."""
     whole = ranges.HadoopRanges(spark, f"file://{sf}/nation.parquet")
