@@ -4,11 +4,13 @@ import glob
 import os
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from parqlane.plans import catalogue
 from parqlane.sources import footer
+from parqlane.sources.stores import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +51,23 @@ def test_files_grow_in_number_with_the_table(spark, sf, duck, monkeypatch):
     assert tuple(got) == duck.execute("SELECT count(*), count(DISTINCT o_orderkey) FROM orders").fetchone()
 
 
+@pytest.mark.parametrize("name", ["filter_boolean", "might_contain_absent_in_bloom", "bloom_holds_all", "null_counts", "read_any_type"])
+def test_large_tables_are_written_by_several_tasks(spark, sf, duck, monkeypatch, tmp_path, name):
+    """A table above a task's bytes is written as it is scanned, not through one task, and the result is the same."""
+    for table in ("lineitem", "customer", "events", "orders"):
+        pq.write_table(pq.read_table(f"{sf}/{table}.parquet"), tmp_path / f"{table}.parquet", row_group_size=50)
+    monkeypatch.setattr(catalogue, "TASK_BYTES", 1 << 10)
+    monkeypatch.setattr(catalogue, "BLOOM_ROWS", 40)
+    wrote = []
+    monkeypatch.setattr(catalogue, "scratch_path", lambda spark, tag: wrote.append(scratch_path(spark, tag)) or wrote[-1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 16 << 10)
+    try:
+        test_query(spark, str(tmp_path), duck, name)
+        assert len(footer.files_of(spark, wrote[0])) > 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
